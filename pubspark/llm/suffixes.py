@@ -42,7 +42,7 @@ from .shared import partitions, written
 from .words import Chunk, Spans, U, chunks, mix
 
 LENGTH, GRAM = 200, 64
-BIG = 512  # segments of one key that are compared in one place; those of larger keys are sorted window by window
+BIG = 4096  # segments of one key that are compared in one place; those of larger keys are sorted window by window
 _PLACE = U((1 << 22) - 1)
 
 
@@ -189,31 +189,41 @@ def repeats(docs: DataFrame, length: int = LENGTH, big: int = BIG) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each key's segments (at most ``big``, and those that stand for others), the windows that two have."""
-        at, group = None, []
+        at, pool, group, size = None, [], [], 0
 
         def give() -> pa.RecordBatch:
-            seen: dict[bytes, tuple[int, int]] = {}
-            flags = [np.zeros(len(x) - length + 1, bool) for _, _, x in group]
-            for j, (_, _, x) in enumerate(group):
-                for k in range(len(x) - length + 1):
-                    i, w = seen.setdefault(x[k : k + length], (j, k))
-                    if (i, w) != (j, k):
-                        flags[i][w] = flags[j][k] = True
-            out = []
-            for (row, first, _), f in zip(group, flags, strict=True):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], f, [0]])))
-                out += [(row, first + int(s), first + int(e) - 1 + length) for s, e in zip(edge[::2], edge[1::2], strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "first", "last"])
+            """Equal windows have one key, so whole groups can be looked through together."""
+            row, first, texts = zip(*pool, strict=True)
+            n = np.array([len(x) - length + 1 for x in texts])
+            begin = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            a = np.repeat(begin, n) + place
+            h = Spans(np.frombuffer(b"".join(texts), np.uint8)).hash(a, a + length)
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            twice = np.zeros(len(h), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            on = twice & ~(np.concatenate([[False], twice[:-1]]) & (place > 0))
+            off = twice & ~(np.concatenate([twice[1:], [False]]) & (np.append(place[1:], 0) > 0))
+            k = np.repeat(np.arange(len(n)), n)
+            row, first = np.array(row), np.array(first)
+            return pa.RecordBatch.from_arrays([pa.array(row[k[on]]), pa.array(first[k[on]] + place[on]), pa.array(first[k[off]] + place[off] + length)], ["row", "first", "last"])
 
         for b in batches:
             for key, row, first, x in zip(*(b.column(c).to_pylist() for c in ("key", "row", "first", "bytes")), strict=True):
                 if key != at:
                     if len(group) > 1:
-                        yield give()
+                        pool += group
+                        size += sum(len(g[2]) for g in group)
                     at, group = key, []
+                    if size > 1_000_000:
+                        yield give()
+                        pool, size = [], 0
                 group.append((row, first, x))
         if len(group) > 1:
+            pool += group
+        if pool:
             yield give()
 
     kind = "key bigint, window bigint, row bigint, first bigint, bytes binary"
