@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..functions import identifiers
+from ..operators import export, relational, search, stats
+from ..streaming import upserts
 from .adapter import TABLES, expand
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +31,7 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         text = expand(text)
-        used = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in TABLES if __import__("re").search(rf"\b{t}\b", text)}
+        used = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
         for name, df in used.items():
             df.createOrReplaceTempView(name)
         return self.spark.sql(text)
@@ -70,3 +74,293 @@ def q_datastatus(t: Tables) -> DataFrame:
 @query(_datastatus("WHERE yr BETWEEN 2012 AND 2020 AND source = 'src1'"))
 def q_datastatus_year_source(t: Tables) -> DataFrame:
     return stats.datastatus(stats.stats_converted(t.live), "src1", 2012, 2020)
+
+
+@query("SELECT source, yr, value, count(*) AS n FROM ssif GROUP BY source, yr, value")
+def q_stats_ssif(t: Tables) -> DataFrame:
+    return stats.stats_ssif(t.ssif)
+
+
+_SSIF_N = "SELECT value, count(*) AS n FROM ssif GROUP BY value"
+
+
+@query(f"SELECT value, n, coalesce(round(n / (SELECT count(*) FROM live) * 100, 2), 0.0) AS pct FROM ({_SSIF_N}) x")
+def q_datastatus_ssif(t: Tables) -> DataFrame:
+    return stats.ssif_shares(stats.stats_ssif(t.ssif), stats.stats_converted(t.live))
+
+
+_AUDITS = """SELECT source, audit_code, yr,
+  cast(sum(CASE WHEN audit_code IN ('creator_count_check', 'auto_classify', 'add_oa') THEN audit_result ELSE 1 - audit_result END) AS bigint) AS valid,
+  cast(sum(CASE WHEN audit_code IN ('auto_classify', 'add_oa') THEN 0 WHEN audit_code = 'creator_count_check' THEN 1 - audit_result ELSE audit_result END) AS bigint) AS invalid
+  FROM audit_info GROUP BY source, audit_code, yr"""
+_FIELDS = "SELECT source, field_name, yr, " + ", ".join(f"cast(sum(CASE WHEN {c} = {v} THEN 1 ELSE 0 END) AS bigint) AS {k}" for k, (c, v) in stats.FIELD_SUMS.items()) + " FROM record_info GROUP BY source, field_name, yr"
+
+
+@query(_AUDITS)
+def q_stats_audit(t: Tables) -> DataFrame:
+    return stats.stats_audit_events(t.audit_info)
+
+
+@query(_FIELDS)
+def q_stats_field(t: Tables) -> DataFrame:
+    return stats.stats_field_events(t.record_info)
+
+
+@query(f"SELECT field_name, n, coalesce(round(n / sum(n) OVER () * 100, 2), 0.0) AS pct FROM (SELECT field_name, cast(sum(v_invalid) AS bigint) AS n FROM ({_FIELDS}) x WHERE yr BETWEEN 2012 AND 2020 GROUP BY field_name) y")
+def q_validations(t: Tables) -> DataFrame:
+    return stats.validations(stats.stats_field_events(t.record_info), 2012, 2020)
+
+
+_PROCESS = " UNION ALL ".join(
+    [f"SELECT 'audit' AS kind, audit_code AS name, '{c}' AS status, cast(sum({c}) AS bigint) AS n FROM ({_AUDITS}) x WHERE source = 'src1' GROUP BY audit_code HAVING sum({c}) > 0" for c in ("valid", "invalid")]
+    + [f"SELECT 'field' AS kind, field_name AS name, '{c}' AS status, cast(sum({c}) AS bigint) AS n FROM ({_FIELDS}) x WHERE source = 'src1' GROUP BY field_name HAVING sum({c}) > 0" for c in stats.FIELD_SUMS]
+)
+
+
+@query(_PROCESS)
+def q_process_stats(t: Tables) -> DataFrame:
+    return stats.process_stats(stats.stats_audit_events(t.audit_info), stats.stats_field_events(t.record_info), "src1")
+
+
+@query("""SELECT id, field_name, CASE WHEN min(validation_status) = 0 THEN 0 ELSE max(validation_status) END AS validation,
+  CASE WHEN max(enrichment_status) = 2 THEN 2 WHEN max(enrichment_status) = 1 THEN 1 ELSE 0 END AS enrichment, max(normalization_status) AS normalization
+  FROM (SELECT id % 300 AS id, field_name, validation_status, enrichment_status, normalization_status FROM record_info) x GROUP BY id, field_name""")
+def q_record_rollup(t: Tables) -> DataFrame:
+    return stats.record_rollup(t.record_info.withColumn("id", F.col("id") % 300))
+
+
+@query("""SELECT oai_id FROM live WHERE source = 'src1' AND (id IN (SELECT id FROM record_info WHERE (field_name = 'ISBN' AND validation_status = 0) OR (field_name = 'DOI' AND enrichment_status = 1))
+  OR id IN (SELECT id FROM audit_info WHERE audit_code = 'ISSN_missing_check' AND audit_result = 1)) ORDER BY oai_id LIMIT 20 OFFSET 3""")
+def q_process_export_ids(t: Tables) -> DataFrame:
+    fields = search.flag_condition([("ISBN", "validation_status", 0), ("DOI", "enrichment_status", 1)], [])
+    audits = search.flag_condition([], [("ISSN_missing_check", 1)])
+    hit = t.record_info.where(fields).select("id").unionByName(t.audit_info.where(audits).select("id")).distinct()
+    return search.page(t.live.where("source = 'src1'").join(hit, "id", "left_semi").select("oai_id"), ["oai_id"], 20, 3)
+
+
+_STAR = search.SearchQuery(years=(2011, 2022), flags={"swedish_list": True}, content_marking=["ref", "vet"], publication_status=["published", "submitted", "retracted"], orgs=["src1", "src2", "src3", "src5"], subjects=["1", "2", "4"])
+_STAR_SQL = """SELECT finalized_id FROM search_single s WHERE yr BETWEEN 2011 AND 2022 AND swedish_list = 1 AND content_marking IN ('ref', 'vet') AND publication_status IN ('published', 'submitted', 'retracted')
+  AND EXISTS (SELECT 1 FROM search_org o WHERE o.finalized_id = s.finalized_id AND o.value IN ('src1', 'src2', 'src3', 'src5')) AND EXISTS (SELECT 1 FROM search_subject o WHERE o.finalized_id = s.finalized_id AND o.value IN ('1', '2', '4'))"""
+
+
+def _star(t: Tables) -> DataFrame:
+    return search.search_ids(t.search_single, _STAR, t.search_creator, t.search_org, t.search_subject, t.search_genre)
+
+
+@query(f"SELECT c.id, c.oai_id, c.yr FROM live c WHERE c.id IN ({_STAR_SQL})")
+def q_search_star(t: Tables) -> DataFrame:
+    return t.live.join(_star(t).select(F.col("finalized_id").alias("id")), "id", "left_semi").select("id", "oai_id", "yr")
+
+
+@query(f"SELECT count(*) AS total FROM ({_STAR_SQL}) x")
+def q_search_total(t: Tables) -> DataFrame:
+    return _star(t).agg(F.countDistinct("finalized_id").alias("total"))
+
+
+@query(f"SELECT DISTINCT value FROM search_org WHERE value IN ('src1', 'src2', 'src3', 'src5') AND finalized_id IN ({_STAR_SQL})")
+def q_search_orgs(t: Tables) -> DataFrame:
+    return search.matching_orgs(_star(t), t.search_org, _STAR.orgs)
+
+
+@query("SELECT DISTINCT s.finalized_id FROM search_single s JOIN search_creator c ON c.finalized_id = s.finalized_id WHERE c.local_id_by = 'NATION_7' AND c.family_name LIKE 'Customer%'")
+def q_search_creator(t: Tables) -> DataFrame:
+    who = t.search_creator.where(F.col("family_name").startswith("Customer"))
+    return search.search_ids(t.search_single, search.SearchQuery(creator={"local_id_by": "NATION_7"}), who, t.search_org, t.search_subject, t.search_genre).select("finalized_id")
+
+
+@query("SELECT finalized_id, value FROM search_genre WHERE value = 'publication/economy anodized' OR lower(value) LIKE 'publication/s%' OR lower(value) LIKE 'publication/_mall%'")
+def q_genre_prefix(t: Tables) -> DataFrame:
+    return t.search_genre.where(search.genre_condition(F.col("value"), ["publication/economy anodized"], ["Publication.S", "publication/_mall/"]))
+
+
+@query("SELECT id FROM titles WHERE list_contains(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+'), 'and')")
+def q_fulltext(t: Tables) -> DataFrame:
+    return search.match(t.titles, "title", "The AND").select("id")
+
+
+@query("""SELECT source, run_id, succeeded, started, first_started, n_runs FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started DESC, run_id DESC) AS rn,
+  min(started) OVER (PARTITION BY source) AS first_started, count(*) OVER (PARTITION BY source) AS n_runs FROM runs) x WHERE rn = 1""")
+def q_latest_run(t: Tables) -> DataFrame:
+    return relational.latest_run(t.runs)
+
+
+@query("SELECT run_id, started FROM runs WHERE source = 'src3' ORDER BY started DESC, run_id LIMIT 10 OFFSET 20")
+def q_run_history_page(t: Tables) -> DataFrame:
+    return search.page(t.runs.where("source = 'src3'").select("run_id", "started"), [F.desc("started"), "run_id"], 10, 20)
+
+
+@query("SELECT record, run_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY record ORDER BY run_id) AS rn FROM runs) x WHERE rn = 1")
+def q_upsert_first_wins(t: Tables) -> DataFrame:
+    return relational.first_wins(t.runs, "record", ["run_id"]).select("record", "run_id", "event_type")
+
+
+@query("SELECT record, run_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY record ORDER BY run_id DESC) AS rn FROM runs) x WHERE rn = 1")
+def q_latest_wins(t: Tables) -> DataFrame:
+    old = relational.latest_wins(t.runs.where("run_id % 2 = 0"), "record", ["run_id"])
+    both = relational.latest_wins(t.runs, "record", ["run_id"])
+    return relational.upsert(old, both, "record").select("record", "run_id", "event_type")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
+def q_anti_missing(t: Tables) -> DataFrame:
+    return relational.missing(t.customer, t.orders.where("o_orderkey % 5 = 0").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT id, id AS cluster_id FROM live WHERE id NOT IN (SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY id % 100) AS n FROM live) x WHERE n > 9)")
+def q_anti_singletons(t: Tables) -> DataFrame:
+    live = t.live
+    many = live.groupBy((F.col("id") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 9")
+    return live.withColumn("k", F.col("id") % 100).join(many, "k", "left_anti").select("id", F.col("id").alias("cluster_id"))
+
+
+@query("SELECT DISTINCT c.c_custkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'P' AND c.c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 97 = 0)")
+def q_lineage_reprocess(t: Tables) -> DataFrame:
+    gone = t.customer.where("c_custkey % 97 = 0").select("c_nationkey").distinct()
+    part = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.join(gone, "c_nationkey", "left_semi").join(part, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("SELECT id % 100 AS cluster_id, min(id) AS master, count(*) AS publication_count, max(yr) AS yr FROM live GROUP BY id % 100")
+def q_export_dedup(t: Tables) -> DataFrame:
+    return export.clusters(t.live.withColumn("cluster_id", F.col("id") % 100)).select("cluster_id", F.col("master").alias("master"), "publication_count", "yr")
+
+
+@query("SELECT oai_id, yr FROM live WHERE yr = 2015")
+def q_export_dup(t: Tables) -> DataFrame:
+    return t.live.where("yr = 2015").select("oai_id", "yr")
+
+
+@query("SELECT oai_id, deleted, modified FROM converted WHERE modified > 20000")
+def q_cdc(t: Tables) -> DataFrame:
+    return export.changed_since(t.converted, 20000).select("oai_id", "deleted", "modified")
+
+
+def _issn_sql(x: str) -> str:
+    c = f"upper(replace({x}, '-', ''))"
+    total = " + ".join(f"{8 - k} * coalesce(try_cast(CASE WHEN substr({c}, {k + 1}, 1) = 'X' THEN '10' ELSE substr({c}, {k + 1}, 1) END AS int), 0)" for k in range(8))
+    return f"(regexp_full_match({x}, '[0-9]{{4}}-?[0-9]{{3}}[0-9Xx]') AND ({total}) % 11 = 0)"
+
+
+def _isbn_sql(x: str) -> str:
+    c = f"upper(replace(replace({x}, '-', ''), ' ', ''))"
+    at = lambda k: f"coalesce(try_cast(CASE WHEN substr({c}, {k}, 1) = 'X' THEN '10' ELSE substr({c}, {k}, 1) END AS int), 0)"
+    ten = " + ".join(f"{11 - k} * {at(k)}" for k in range(1, 11))
+    thirteen = " + ".join(f"{1 if k % 2 else 3} * {at(k)}" for k in range(1, 14))
+    return f"((regexp_full_match({x}, '([0-9][- ]?){{12}}[0-9]') AND ({thirteen}) % 10 = 0) OR (regexp_full_match({x}, '([0-9][- ]?){{9}}[0-9Xx]') AND ({ten}) % 11 = 0))"
+
+
+def _orcid_sql(x: str) -> str:
+    d = f"upper(replace(regexp_replace({x}, '^https?://orcid\\.org/', ''), '-', ''))"
+    total = "0"
+    for k in range(15):
+        total = f"(({total} + coalesce(try_cast(substr({d}, {k + 1}, 1) AS int), 0)) * 2 % 11)"
+    number = f"coalesce(try_cast(substr({d}, 1, 15) AS bigint), 0)"
+    return f"(regexp_full_match({x}, '(https?://orcid\\.org/)?[0-9]{{4}}-?[0-9]{{4}}-?[0-9]{{4}}-?[0-9]{{3}}[0-9Xx]') AND ({number} BETWEEN 15000000 AND 35000001 OR {number} BETWEEN 900000000000 AND 900100000000) AND (12 - {total}) % 11 = CASE WHEN substr({d}, 16, 1) = 'X' THEN 10 ELSE coalesce(try_cast(substr({d}, 16, 1) AS int), -1) END)"
+
+
+def _doi_sql(x: str) -> str:
+    return f"(NOT regexp_matches({x}, '[\\p{{Cc}}\\p{{Cf}}\\p{{Z}}]') AND regexp_full_match(regexp_replace({x}, '^https?://(dx\\.)?doi\\.org/', ''), '10\\.[^/]+/.+'))"
+
+
+def _clean_sql(view: str, valid: Callable[[str], str], recover: str, normal: str) -> str:
+    return f"""SELECT id, value, CASE WHEN two THEN {normal} ELSE used END AS new_value, cast(two AS int) AS validation, CASE WHEN one THEN 0 WHEN two THEN 1 ELSE 2 END AS enrichment,
+      cast(two AND {normal} <> used AS int) AS normalization FROM (SELECT *, one OR {valid('used')} AS two FROM (SELECT *, CASE WHEN one OR coalesce(f, '') = '' THEN value ELSE f END AS used
+      FROM (SELECT id, value, {valid('value')} AS one, {recover} AS f FROM {view}) a) b) c"""
+
+
+_ISSN_N = "concat(substr(upper(replace(used, '-', '')), 1, 4), '-', substr(upper(replace(used, '-', '')), 5, 4))"
+_ORCID_D = "upper(replace(regexp_replace(used, '^https?://orcid\\.org/', ''), '-', ''))"
+
+
+@query(_clean_sql("issns", _issn_sql, "regexp_extract(value, '(^|[^0-9Xx-])([0-9]{4}-?[0-9]{3}[0-9Xx])($|[^0-9])', 2)", _ISSN_N))
+def q_issn(t: Tables) -> DataFrame:
+    return identifiers.clean(t.issns, "ISSN")
+
+
+@query(_clean_sql("isbns", _isbn_sql, "regexp_extract(value, '(^|[^0-9Xx-])(97[89][- ]?([0-9][- ]?){9}[0-9]|([0-9][- ]?){9}[0-9Xx])($|[^0-9])', 2)", "upper(replace(replace(used, '-', ''), ' ', ''))"))
+def q_isbn(t: Tables) -> DataFrame:
+    return identifiers.clean(t.isbns, "ISBN")
+
+
+@query(_clean_sql("orcids", _orcid_sql, "regexp_extract(value, '([0-9]{4}-?[0-9]{4}-?[0-9]{4}-?[0-9]{3}[0-9Xx])', 1)", "concat('https://orcid.org/', " + ", '-', ".join(f"substr({_ORCID_D}, {k}, 4)" for k in (1, 5, 9, 13)) + ")"))
+def q_orcid(t: Tables) -> DataFrame:
+    return identifiers.clean(t.orcids, "ORCID")
+
+
+@query(_clean_sql("dois", _doi_sql, "regexp_extract(regexp_replace(value, '[\\p{Cc}\\p{Cf}\\p{Z}]', '', 'g'), '(10\\..*)', 1)", "concat('https://doi.org/', regexp_replace(used, '^https?://(dx\\.)?doi\\.org/', ''))"))
+def q_doi(t: Tables) -> DataFrame:
+    return identifiers.clean(t.dois, "DOI")
+
+
+@query("SELECT i.id, i.value, CASE WHEN k.v IS NULL THEN 0 ELSE 1 END AS known FROM issns i LEFT JOIN (SELECT DISTINCT value AS v FROM issns WHERE id % 3 = 0) k ON k.v = i.value")
+def q_known_ids(t: Tables) -> DataFrame:
+    known = t.issns.where("id % 3 = 0").select("value").distinct().withColumn("k", F.lit(1))
+    return t.issns.join(known, "value", "left").select("id", "value", F.coalesce("k", F.lit(0)).alias("known"))
+
+
+@query("SELECT l_partkey AS part, CASE WHEN max(CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END) = 1 THEN 'peer' ELSE 'nonpeer' END AS level FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_partkey")
+def q_swedish_list(t: Tables) -> DataFrame:
+    rows = t.lineitem.where("l_linenumber <= 2").select(F.col("l_partkey").alias("part"), (F.col("l_suppkey") % 3 == 0).cast("int").alias("lvl"))
+    return rows.groupBy("part").agg(F.when(F.max("lvl") == 1, "peer").otherwise("nonpeer").alias("level"))
+
+
+@query("""WITH RECURSIVE up AS (SELECT code, code AS ancestor, broader FROM concepts UNION ALL SELECT u.code, c.code AS ancestor, c.broader FROM up u JOIN concepts c ON c.code = u.broader) SELECT code, ancestor FROM up""")
+def q_concept_ancestors(t: Tables) -> DataFrame:
+    return relational.ancestors(t.concepts)
+
+
+_KEYS = "SELECT id, source, key FROM (SELECT id, source, lower(regexp_replace(right(title, 60), '[^AaEeIiOoUuYyÅåÄäÖö]', '', 'g')) AS key FROM titles UNION ALL SELECT id, source, lower(regexp_replace(right(summary, 60), '[^AaEeIiOoUuYyÅåÄäÖö]', '', 'g')) AS key FROM titles) k WHERE length(key) > 4"
+
+
+def _keys(t: Tables) -> DataFrame:
+    rows = t.titles
+    both = rows.select("id", "source", relational.blocking_key(F.col("title")).alias("key")).unionByName(rows.select("id", "source", relational.blocking_key(F.col("summary")).alias("key")))
+    return both.where("key IS NOT NULL")
+
+
+@query(_KEYS)
+def q_block_keys(t: Tables) -> DataFrame:
+    return _keys(t)
+
+
+_GROUPS = f"SELECT key, count(*) AS n FROM ({_KEYS}) k GROUP BY key HAVING count(*) > 1 AND count(*) < 150"
+_PAIRS = f"SELECT DISTINCT a.id AS a, b.id AS b FROM ({_KEYS}) a JOIN ({_KEYS}) b ON a.key = b.key AND a.id < b.id WHERE a.key IN (SELECT key FROM ({_GROUPS}) g)"
+
+
+@query(_GROUPS)
+def q_candidate_groups(t: Tables) -> DataFrame:
+    return relational.candidate_groups(_keys(t))
+
+
+@query(_PAIRS)
+def q_candidate_pairs(t: Tables) -> DataFrame:
+    return relational.candidate_pairs(_keys(t))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_PAIRS}) p UNION SELECT b AS a, a AS b FROM ({_PAIRS}) p), r AS (SELECT a AS node, a AS up FROM e UNION SELECT r.node, e.b AS up FROM r JOIN e ON e.a = r.up) SELECT node, min(up) AS component FROM r GROUP BY node""")
+def q_components(t: Tables) -> DataFrame:
+    return relational.components(relational.candidate_pairs(_keys(t)))
+
+
+@query("SELECT a.c_custkey AS a, b.c_custkey AS b, cast(levenshtein(a.c_name, b.c_name) AS int) AS d FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE levenshtein(a.c_name, b.c_name) <= 2")
+def q_levenshtein_pairs(t: Tables) -> DataFrame:
+    c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    a, b = (c.select(F.col("c_custkey").alias(x), F.col("c_name").alias(f"n{x}"), "c_nationkey", "c_mktsegment") for x in "ab")
+    d = F.levenshtein("na", "nb")
+    return a.join(b, ["c_nationkey", "c_mktsegment"]).where("a < b").withColumn("d", d).where("d <= 2").select("a", "b", "d")
+
+
+@query("SELECT cluster_id, id AS master FROM (SELECT id % 100 AS cluster_id, id, row_number() OVER (PARTITION BY id % 100 ORDER BY length(summary) + length(title) DESC, id) AS rn FROM titles) x WHERE rn = 1")
+def q_master_pick(t: Tables) -> DataFrame:
+    rows = t.titles.select((F.col("id") % 100).alias("cluster_id"), "id", (F.length("summary") + F.length("title")).alias("size"))
+    return rows.groupBy("cluster_id").agg(F.max_by("id", F.struct("size", (-F.col("id")).alias("o"))).alias("master"))
+
+
+@query("SELECT o_orderkey % 10 AS part, CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1, 2")
+def q_split(t: Tables) -> DataFrame:
+    return export.split(t.orders, F.col("o_orderkey") % 10).groupBy("part", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT record, max(run_id) AS run_id FROM runs GROUP BY record")
+def q_stream_upsert(t: Tables) -> DataFrame:
+    return upserts.stream_latest(t.spark, f"{t.sf_dir}/events.parquet")
