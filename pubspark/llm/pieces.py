@@ -177,19 +177,19 @@ class PieceCodec:
             for s, f, h in zip(split, found, holes, strict=True):
                 for k in h:
                     f[k] = self.cache[s[k]]
-                yield b"".join(f)
+            yield from map(b"".join, found)  # only now: whoever takes them may encode other texts between
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
-    def parity(self, text: str) -> bool:
-        """Whether the sentencepiece library gives the same ids."""
+    def parity(self, text: str, raw: bytes | None = None) -> bool:
+        """Whether the sentencepiece library gives the same ids (``raw``, where the text is encoded already)."""
         import sentencepiece
 
         if not hasattr(self, "other"):
             self.other = sentencepiece.SentencePieceProcessor(model_file=self.path)
-        return np.array(self.other.encode(text), np.int32).tobytes() == next(self.encode([text]))
+        return np.array(self.other.encode(text), np.int32).tobytes() == (next(self.encode([text])) if raw is None else raw)
 
 
 def encode_column(path: str):
@@ -232,7 +232,7 @@ def codec_digest(docs: DataFrame, path: str, every: int = 20) -> DataFrame:
         rows = []
         for t, asked, raw in zip(texts, test.to_pylist(), codec.encode(texts), strict=True):
             back = codec.decode(np.frombuffer(raw, np.int32))
-            rows.append((len(raw) // 4, zlib.crc32(raw), zlib.crc32(back.encode()), back == t, codec.parity(t) if asked else None))
+            rows.append((len(raw) // 4, zlib.crc32(raw), zlib.crc32(back.encode()), back == t, codec.parity(t, raw) if asked else None))
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], kind.names)
 

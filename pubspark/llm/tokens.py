@@ -124,7 +124,7 @@ class WordEncoder:
             for s, f, h in zip(split, found, holes, strict=True):
                 for k in h:
                     f[k] = self.cache[s[k]]
-                yield b"".join(f)
+            yield from map(b"".join, found)  # only now: whoever takes them may encode other texts between
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, row_group_bytes: int = 32 << 20) -> None:
