@@ -8,8 +8,8 @@ no piece has a marker after another character, texts can be cut before each
 run of markers. ``parity`` compares with the sentencepiece library itself.
 
 Cases: a null or empty text has no ids and decodes to the empty text; rows
-with equal ids or texts are encoded alike; text that byte fallback cannot
-restore does not occur, as every byte has a piece.
+with equal ids or texts are encoded alike; every byte has a piece, so only a
+marker character in the text itself does not come back (it decodes to a space).
 """
 
 from __future__ import annotations
