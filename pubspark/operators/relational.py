@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +28,11 @@ def missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_anti")
 
 
+def siblings(rows: DataFrame) -> DataFrame:
+    """Live rows of clusters that a tombstone is in: what has to be marked as modified."""
+    return rows.where("deleted = 0").join(rows.where("deleted = 1").select("cluster_id").distinct(), "cluster_id", "left_semi")
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """Of each source the run that started last (of equals, the greatest id)."""
     last = F.max_by(F.struct("run_id", "succeeded", "started"), F.struct("started", "run_id"))
@@ -53,9 +60,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node and its component's least node, by least labels with pointer jumping; each round is checkpointed."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(top or tempfile.mkdtemp())  # a local folder only where none is named
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
     for _ in range(rounds):

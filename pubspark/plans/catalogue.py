@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identifiers
+from ..functions import identifiers, text
 from ..operators import export, relational, search, stats
 from ..streaming import upserts
 from .adapter import TABLES, expand
@@ -364,3 +364,52 @@ def q_split(t: Tables) -> DataFrame:
 @query("SELECT record, max(run_id) AS run_id FROM runs GROUP BY record")
 def q_stream_upsert(t: Tables) -> DataFrame:
     return upserts.stream_latest(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("SELECT id, regexp_replace(translate(concat(title, ' 1–2 a⁄b é'), '⁄–', '/-'), '[^\\x00-\\x7F]', '', 'g') AS plain FROM titles")
+def q_to_ascii(t: Tables) -> DataFrame:
+    return t.titles.select("id", text.to_ascii(F.concat("title", F.lit(" 1–2 a⁄b é"))).alias("plain"))
+
+
+@query("SELECT id, concat_ws('_', source, 'lid', cast(id AS varchar), substr(lower(strip_accents(concat('Åsa É', title))), 1, 32)) AS key FROM titles")
+def q_local_id_key(t: Tables) -> DataFrame:
+    return t.titles.select("id", text.local_id_key(F.col("source"), F.lit("lid"), F.col("id").cast("string"), F.concat(F.lit("Åsa É"), "title")).alias("key"))
+
+
+@query("""SELECT a.id AS a, b.id AS b FROM (SELECT n_nationkey AS id, n_regionkey AS r, substr(lower(n_name), 1, cast(1 + n_nationkey % 9 AS int)) AS n FROM nation) a
+  JOIN (SELECT n_nationkey AS id, n_regionkey AS r, lower(n_name) AS n FROM nation) b ON a.r = b.r WHERE CASE WHEN least(length(a.n), length(b.n)) = 1 THEN substr(a.n, 1, 1) = substr(b.n, 1, 1)
+  ELSE levenshtein(a.n, b.n) <= CASE WHEN least(length(a.n), length(b.n)) > 14 THEN 4 WHEN least(length(a.n), length(b.n)) > 7 THEN 3 WHEN least(length(a.n), length(b.n)) > 4 THEN 2 WHEN least(length(a.n), length(b.n)) > 2 THEN 1 ELSE 0 END END""")
+def q_name_parts(t: Tables) -> DataFrame:
+    n = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("r"), F.lower("n_name").alias("n"))
+    a = n.select(F.col("id").alias("a"), "r", F.substring(F.col("n"), F.lit(1), (1 + F.col("id") % 9).cast("int")).alias("x"))
+    return a.join(n.select(F.col("id").alias("b"), "r", F.col("n").alias("y")), "r").where(text.same_name_part(F.col("x"), F.col("y"))).select("a", "b")
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, left(strftime(o_orderdate, '%Y-%m-%d'), CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 7 ELSE 10 END) AS d FROM orders) x WHERE left(d, least(length(d), 7)) = left('1995-03', least(length(d), 7))")
+def q_same_date(t: Tables) -> DataFrame:
+    n = F.when(F.col("o_orderkey") % 3 == 0, 4).when(F.col("o_orderkey") % 3 == 1, 7).otherwise(10)
+    d = F.left(F.date_format("o_orderdate", "yyyy-MM-dd"), n)
+    return t.orders.where(text.same_date(d, F.lit("1995-03"))).select("o_orderkey")
+
+
+@query("""SELECT id, CASE WHEN coalesce(s, '') <> '' THEN m ELSE split_part(m, ':', 1) END AS main, CASE WHEN coalesce(s, '') <> '' THEN s WHEN instr(m, ':') > 0 THEN trim(substr(m, instr(m, ':') + 1), ' ') END AS sub
+  FROM (SELECT id, CASE WHEN id % 3 = 0 THEN title ELSE concat(substr(title, 1, 10), ': ', substr(title, 11)) END AS m, CASE WHEN id % 5 = 0 THEN source END AS s FROM titles) x""")
+def q_title_split(t: Tables) -> DataFrame:
+    m = F.when(F.col("id") % 3 == 0, F.col("title")).otherwise(F.concat(F.substring("title", 1, 10), F.lit(": "), F.expr("substr(title, 11)")))
+    s = F.when(F.col("id") % 5 == 0, F.col("source"))
+    return t.titles.select("id", text.main_title(m, s).alias("main"), text.sub_title(m, s).alias("sub"))
+
+
+_STATUS = "CASE id % 5 WHEN 0 THEN 'Published' WHEN 1 THEN 'InPrint' WHEN 2 THEN 'Submitted' WHEN 3 THEN 'Retracted' END"
+
+
+@query(f"""SELECT cluster_id, status FROM (SELECT id % 400 AS cluster_id, {_STATUS} AS status, row_number() OVER (PARTITION BY id % 400 ORDER BY CASE {_STATUS} WHEN 'Published' THEN 1 WHEN 'InPrint' THEN 3 WHEN 'Submitted' THEN 5 WHEN 'Retracted' THEN 7 ELSE 8 END, id) AS rn FROM live) x WHERE rn = 1""")
+def q_status_rank(t: Tables) -> DataFrame:
+    rows = t.live.select((F.col("id") % 400).alias("cluster_id"), "id", F.expr(_STATUS).alias("status"))
+    return rows.groupBy("cluster_id").agg(F.min_by("status", F.struct(text.status_rank(F.col("status")), "id")).alias("status"))
+
+
+@query("SELECT id FROM live WHERE id % 100 IN (SELECT id % 100 FROM converted WHERE deleted = 1)")
+def q_siblings(t: Tables) -> DataFrame:
+    rows = t.converted.select("id", "deleted", (F.col("id") % 100).alias("cluster_id"))
+    return relational.siblings(rows).select("id")
