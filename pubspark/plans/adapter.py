@@ -54,6 +54,21 @@ VIEWS: dict[str, str] = {
         FROM (SELECT o_orderkey, concat('978', lpad(cast(o_orderkey AS string), 9, '0')) AS d FROM orders) x) y) z""",
     "orcids": "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN concat('ORCID: ', v) WHEN 1 THEN replace(v, '-', '') WHEN 2 THEN concat('http://orcid.org/', v) ELSE v END AS value FROM (SELECT c_custkey, concat('0000-0001-', lpad(cast(5000 + c_custkey % 4000 AS string), 4, '0'), '-', lpad(cast(c_custkey * 31 % 1000 AS string), 3, '0'), cast(c_custkey % 10 AS string)) AS v FROM customer) x",
     "dois": "SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN concat('doi:', v) WHEN 1 THEN concat('http://doi.org/', v) WHEN 2 THEN concat(v, ' x') WHEN 3 THEN '10.missing/' WHEN 4 THEN concat('https://doi.org/', v) ELSE v END AS value FROM (SELECT s_suppkey, concat('10.', cast(1000 + s_suppkey AS string), '/abc.', cast(s_suppkey AS string)) AS v FROM supplier) x",
+    "publications": """
+        SELECT id, source, yr, concat('{"@id":"', oai_id, '","@type":"Instance","instanceOf":{"@type":"Text","hasTitle":[',
+            CASE id % 3 WHEN 0 THEN concat('{"@type":"VariantTitle","mainTitle":"V"},{"@type":"Title","mainTitle":"Main ', cast(id AS string), '","subtitle":"Sub"}') ELSE concat('{"@type":"Title","mainTitle":"Main ', cast(id AS string), ': rest"}') END,
+            '],"genreForm":[', CASE id % 4 WHEN 0 THEN '{"@id":"v:/swedishlist/non-peer-reviewed"},{"@id":"v:/output/publication/journal-article"},{"@id":"v:/svep/ref"}' WHEN 1 THEN '{"@id":"v:/output/publication/edited-book"},{"@id":"v:/svep/vet"}' WHEN 2 THEN '{"@id":"v:/swedishlist/peer-reviewed"},{"@id":"v:/output/publication/report"}' ELSE '{"@id":"v:/JournalArticle"}' END,
+            '],"hasNote":[', CASE id % 5 WHEN 0 THEN '{"@type":"PublicationStatus","@id":"v:/Published"}' WHEN 1 THEN '{"@type":"PublicationStatus","@id":"v:/Submitted"},{"@type":"PublicationStatus","@id":"v:/Retracted"}' ELSE concat('{"@type":"CreatorCount","label":"', cast(id % 5 - 1 AS string), '"}') END,
+            '],"contribution":[{"@type":"Contribution","agent":{"@type":"Person","givenName":"Ann","familyName":"Lee","identifiedBy":[{"@type":"Local","value":"l', cast(id % 50 AS string), '","source":{"@type":"Source","code":"', source, '"}}]},"role":[{"@id":"r:/', CASE id % 4 WHEN 1 THEN 'edt' ELSE 'aut' END, '"}]}',
+            CASE WHEN id % 6 < 3 THEN concat(',{"@type":"Contribution","agent":{"@type":"Person","givenName":"', CASE WHEN id % 6 = 0 THEN 'ANN' ELSE 'Bo' END, '","familyName":"Lee","identifiedBy":[{"@type":"Local","value":"l', cast(id % 50 AS string), '","source":{"@type":"Source","code":"', source, '"}}]},"role":[{"@id":"r:/', CASE id % 4 WHEN 1 THEN 'edt' ELSE 'aut' END, '"}]}') ELSE '' END,
+            ',{"@type":"Contribution","agent":{"@type":"Organization","name":"Org"},"role":[{"@id":"r:/pbl"}]}],"classification":[', CASE id % 4 WHEN 0 THEN '{"code":"1"}' WHEN 1 THEN '{"code":"102"},{"code":"1"}' WHEN 2 THEN '{"code":"50301","@annotation":{"assigner":{"@id":"v:/autoclassifier"}}}' ELSE '{"code":"9999"}' END,
+            ']},"publication":[{"@type":"Publication","date":"', cast(yr AS string), CASE WHEN id % 2 = 0 THEN '-03' ELSE '' END, '"}],"usageAndAccessPolicy":[',
+            CASE id % 8 WHEN 0 THEN '{"@id":"p:/oa/gratis"}' WHEN 1 THEN '{"@id":"p:/oa/gratis"},{"@type":"Embargo","endDate":"2030-01-01"}' WHEN 2 THEN '{"@type":"Embargo","endDate":"2001-01-01"},{"@type":"AccessPolicy","label":"gratis"}'
+              WHEN 3 THEN '{"@type":"AccessPolicy","label":"restricted"},{"@id":"p:/oa/gratis"}' WHEN 4 THEN '{"@type":"Embargo"},{"@id":"p:/oa/gratis"}' WHEN 5 THEN '{"@type":"Embargo","endDate":"soon"},{"@id":"p:/oa/gratis"}' ELSE '' END,
+            '],"electronicLocator":[', CASE id % 5 WHEN 0 THEN '{"@type":"MediaObject","uri":"u:1","usageAndAccessPolicy":[{"@id":"p:/oa/restricted"}]},{"@type":"Resource","uri":"u:2","hasNote":[{"label":"free"}]}' WHEN 1 THEN '{"@type":"Resource","uri":"u:3","hasNote":[{"label":"free/2099-01-01"}]}' WHEN 2 THEN '{"@type":"Resource","uri":"u:4","hasNote":[{"label":"free/2012-01-01"},{"@id":"v:/Accepted"}]}' WHEN 3 THEN '{"@type":"Resource","uri":"","hasNote":[{"label":"free"}]}' ELSE '' END,
+            '],"identifiedBy":[{"@type":"DOI","value":"10.1/', cast(id AS string), '"}', CASE WHEN id % 3 = 1 THEN ',{"@type":"ISBN","value":"b1"}' ELSE '' END,
+            '],"isPartOf":[', CASE id % 3 WHEN 0 THEN '{"@type":"Dataset","hasTitle":[{"@type":"Title","mainTitle":"Data"}]},{"hasTitle":[{"@type":"Title","mainTitle":"Journal"}],"identifiedBy":[{"@type":"ISSN","value":"s1"},{"@type":"ISBN","value":"b2"}]}' WHEN 1 THEN '{"identifiedBy":[{"@type":"ISBN","value":"b2"},{"@type":"DOI","value":"10.1/host"}],"hasSeries":[{"hasTitle":[{"@type":"Title","mainTitle":"Series"}],"identifiedBy":[{"@type":"ISBN","value":"b3"}]}]}' ELSE '' END,
+            ']}') AS doc FROM live""",
     "concepts": """SELECT cast(1 + r_regionkey AS string) AS code, r_name AS label, cast(NULL AS string) AS broader FROM region
         UNION ALL SELECT concat(cast(1 + n_regionkey AS string), lpad(cast(n_nationkey AS string), 2, '0')) AS code, n_name AS label, cast(1 + n_regionkey AS string) AS broader FROM nation
         UNION ALL SELECT concat(cast(1 + n_regionkey AS string), lpad(cast(n_nationkey AS string), 2, '0'), '01') AS code, concat(n_name, ' 1') AS label, concat(cast(1 + n_regionkey AS string), lpad(cast(n_nationkey AS string), 2, '0')) AS broader FROM nation""",

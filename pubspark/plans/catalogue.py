@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identifiers, text
+from ..functions import documents, identifiers, text
 from ..operators import export, relational, search, stats
 from ..streaming import upserts
 from .adapter import TABLES, expand
@@ -413,3 +413,107 @@ def q_status_rank(t: Tables) -> DataFrame:
 def q_siblings(t: Tables) -> DataFrame:
     rows = t.converted.select("id", "deleted", (F.col("id") % 100).alias("cluster_id"))
     return relational.siblings(rows).select("id")
+
+
+def _docs(t: Tables) -> DataFrame:
+    return t.publications.select("id", "source", documents.parse(F.col("doc")).alias("d"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN concat('Main ', cast(id AS string), ': Sub') ELSE concat('Main ', cast(id AS string), ': rest') END AS title, yr,
+  CASE WHEN id % 2 = 0 THEN concat(cast(yr AS string), '-03') ELSE cast(yr AS string) END AS published, CASE id % 4 WHEN 0 THEN 'ref' WHEN 1 THEN 'vet' END AS marking, CASE id % 5 WHEN 0 THEN 'published' WHEN 1 THEN 'submitted' END AS status,
+  CASE id % 5 WHEN 0 THEN 'v:/Published' END AS only_status, CASE WHEN id % 5 > 1 THEN cast(id % 5 - 1 AS int) END AS stated, CASE id % 4 WHEN 0 THEN 0 WHEN 2 THEN 1 END AS level, CASE id % 5 WHEN 2 THEN 'v:/Accepted' END AS version,
+  CASE id % 5 WHEN 0 THEN 'u:2' WHEN 1 THEN 'u:3' WHEN 2 THEN 'u:4' END AS locator, CASE WHEN id % 3 = 0 THEN 'Journal' END AS channel, id % 4 IN (0, 3) AS article, cast(CASE WHEN id % 4 < 3 THEN 1 ELSE 0 END AS int) AS n_outputs FROM live""")
+def q_accessors(t: Tables) -> DataFrame:
+    d = F.col("d")
+    return _docs(t).select(
+        "id", documents.title(d).alias("title"), documents.publication_year(d).alias("yr"), documents.publication_date(d).alias("published"), documents.content_marking(d).alias("marking"), documents.search_status(d).alias("status"),
+        documents.publication_status(d, only=True).alias("only_status"), documents.creator_count(d).alias("stated"), documents.level(d).alias("level"), documents.open_access_version(d).alias("version"), documents.electronic_locator(d).alias("locator"),
+        documents.publication_channel(d).alias("channel"), documents.is_article(d).alias("article"), F.size(documents.output_types(d)).alias("n_outputs"),
+    )
+
+
+_EMBARGO = "id % 8 IN (1, 4)"
+
+
+@query(f"SELECT id, {_EMBARGO} AS embargoed, CASE WHEN {_EMBARGO} THEN false WHEN id % 8 IN (0, 2, 5) THEN true WHEN id % 8 = 3 THEN false ELSE id % 5 = 2 END AS open_access FROM live")
+def q_open_access(t: Tables) -> DataFrame:
+    d, today = F.col("d"), F.lit("2020-06-30").cast("date")
+    return _docs(t).select("id", documents.embargoed(d, today).alias("embargoed"), documents.open_access(d, today).alias("open_access"))
+
+
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN '1' WHEN 1 THEN '1,102' WHEN 2 THEN '5,503,50301' ELSE '' END AS subjects, CASE id % 4 WHEN 0 THEN '1' WHEN 1 THEN '1' WHEN 2 THEN '5' ELSE '' END AS top, id % 4 IN (1, 2) AS classified, id % 4 = 2 AS automatic FROM live""")
+def q_subjects(t: Tables) -> DataFrame:
+    d = F.col("d")
+    return _docs(t).select("id", F.array_join(documents.subjects(d), ",").alias("subjects"), F.array_join(documents.top_subjects(d), ",").alias("top"), documents.is_classified(d).alias("classified"), documents.autoclassified(d).alias("automatic"))
+
+
+@query("""SELECT id, concat('10.1/', cast(id AS string), CASE WHEN id % 3 = 1 THEN ',10.1/host' ELSE '' END) AS dois, CASE WHEN id % 3 = 0 THEN 's1' ELSE '' END AS issns, CASE id % 3 WHEN 0 THEN 'b2' WHEN 1 THEN 'b2,b3,b1' ELSE '' END AS isbns, CASE WHEN id % 3 = 1 THEN 'Series' ELSE '' END AS series FROM live""")
+def q_identifiers(t: Tables) -> DataFrame:
+    d = F.col("d")
+    joined = [F.array_join(documents.identifiers(d, k), ",").alias(f"{k.lower()}s") for k in ("DOI", "ISSN", "ISBN")]
+    return _docs(t).select("id", *joined, F.array_join(documents.series(d), ",").alias("series"))
+
+
+@query("""SELECT id, 1 AS pos, 'Ann' AS given_name, 'Lee' AS family_name, concat('l', cast(id % 50 AS string)) AS local_id, source AS local_id_by FROM live
+  UNION ALL SELECT id, 2 AS pos, CASE WHEN id % 6 = 0 THEN 'ANN' ELSE 'Bo' END AS given_name, 'Lee' AS family_name, concat('l', cast(id % 50 AS string)) AS local_id, source AS local_id_by FROM live WHERE id % 6 < 3""")
+def q_creators(t: Tables) -> DataFrame:
+    rows = _docs(t).select("id", F.posexplode(documents.creators(F.col("d"))).alias("p", "c"))
+    return rows.select("id", (F.col("p") + 1).alias("pos"), *(f"c.{k}" for k in ("given_name", "family_name", "local_id", "local_id_by")))
+
+
+_COUNT = "(1 + CASE WHEN id % 6 < 3 THEN 1 ELSE 0 END)"
+
+
+@query(f"""SELECT id, 'creator_count_note_exists' AS audit_code, id % 5 > 1 AS audit_result FROM live UNION ALL SELECT id, 'creator_count_check' AS audit_code, {_COUNT} <= id % 5 - 1 AS audit_result FROM live WHERE id % 5 > 1
+  UNION ALL SELECT id, 'contributor_duplicate_check' AS audit_code, id % 6 = 0 AS audit_result FROM live UNION ALL SELECT id, 'SSIF_comprehensive_check' AS audit_code, id % 4 NOT IN (1, 2) AS audit_result FROM live
+  UNION ALL SELECT id, 'ISSN_missing_check' AS audit_code, id % 4 IN (0, 3) AND id % 3 <> 0 AND id % 5 <> 1 AS audit_result FROM live""")
+def q_record_audits(t: Tables) -> DataFrame:
+    checks = documents.audits(F.col("d"))
+    every = F.array(*(F.struct(F.lit(k).alias("audit_code"), v.alias("audit_result")) for k, v in checks.items()))
+    return _docs(t).select("id", F.explode(F.filter(every, lambda x: x["audit_result"].isNotNull())).alias("a")).select("id", "a.audit_code", "a.audit_result")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--(.|\\n)*?-->|</?[A-Za-z][^>]*(>|$)', '', 'g'), '&quot;', '\"', 'g'), '&nbsp;', ' ', 'g'), '&amp;', '&', 'g'), '[\\x07\\x08\\f\\n\\r\\t\\x0B]+', ' ', 'g'), '[\\x01-\\x1F]', '', 'g'), ' ') AS plain FROM (SELECT page_id, replace(replace(html, '&lt;', '<'), '&gt;', '>') AS html FROM pages) x")
+def q_html_strip(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.trim(documents.cleaned_text(F.col("html"))).alias("plain"))
+
+
+@query("SELECT DISTINCT source FROM runs WHERE succeeded = 1")
+def q_sources(t: Tables) -> DataFrame:
+    return t.runs.where("succeeded = 1").select("source").distinct()
+
+
+@query("SELECT source, min(started) AS first_started, max(started) AS last_started, count(*) AS n FROM runs GROUP BY source")
+def q_run_span(t: Tables) -> DataFrame:
+    return t.runs.groupBy("source").agg(F.min("started").alias("first_started"), F.max("started").alias("last_started"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id AS id, CASE WHEN id % 2 = 0 THEN cast(yr AS string) ELSE concat(cast(yr AS string), '-02-30') END AS value, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS validation FROM live")
+def q_year(t: Tables) -> DataFrame:
+    v = F.when(F.col("id") % 2 == 0, F.col("yr").cast("string")).otherwise(F.concat(F.col("yr").cast("string"), F.lit("-02-30")))
+    return identifiers.clean(t.live.select("id", v.alias("value")), "publication_year").select("id", "value", "validation")
+
+
+@query("SELECT c_custkey AS id, cast(c_custkey % 7 - 1 AS string) AS value, CASE WHEN c_custkey % 7 > 1 THEN 1 ELSE 0 END AS validation FROM customer")
+def q_creator_count(t: Tables) -> DataFrame:
+    return identifiers.clean(t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 7 - 1).cast("string").alias("value")), "creator_count").select("id", "value", "validation")
+
+
+@query("SELECT o_orderkey AS id, cast(o_orderkey AS string) AS value, CASE WHEN length(cast(o_orderkey AS string)) IN (1, 3, 5) AND o_orderkey <> 21101 THEN 1 ELSE 0 END AS validation FROM orders")
+def q_ssif(t: Tables) -> DataFrame:
+    return identifiers.clean(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("value")), "SSIF").select("id", "value", "validation")
+
+
+@query("SELECT page_id AS id, url AS value, CASE WHEN regexp_full_match(url, '[\\x00-\\x7F]*') THEN 1 ELSE 0 END AS validation FROM pages WHERE url IS NOT NULL")
+def q_uri(t: Tables) -> DataFrame:
+    return identifiers.clean(t.pages.where("url IS NOT NULL").select(F.col("page_id").alias("id"), F.col("url").alias("value")), "URI").select("id", "value", "validation")
+
+
+_ISI = "CASE id % 4 WHEN 0 THEN concat('ISI: ', v) WHEN 1 THEN substr(v, 1, 14) ELSE v END"
+
+
+@query(f"""SELECT id, {_ISI} AS value, CASE id % 4 WHEN 1 THEN substr(v, 1, 14) ELSE v END AS new_value, CASE id % 4 WHEN 1 THEN 0 ELSE 1 END AS validation, CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS enrichment
+  FROM (SELECT s_suppkey AS id, concat('000', lpad(cast(s_suppkey AS string), 12, '0')) AS v FROM supplier) x""")
+def q_isi(t: Tables) -> DataFrame:
+    rows = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("000"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("v"))
+    return identifiers.clean(rows.select("id", F.expr(_ISI).alias("value")), "ISI").drop("normalization")
