@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import documents, identifiers, text
-from ..operators import export, relational, search, stats
+from ..functions import documents, identifiers, similarity, text
+from ..operators import dedup, export, relational, search, stats
 from ..streaming import upserts
 from .adapter import TABLES, expand
 
@@ -517,3 +517,54 @@ _ISI = "CASE id % 4 WHEN 0 THEN concat('ISI: ', v) WHEN 1 THEN substr(v, 1, 14)
 def q_isi(t: Tables) -> DataFrame:
     rows = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("000"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("v"))
     return identifiers.clean(rows.select("id", F.expr(_ISI).alias("value")), "ISI").drop("normalization")
+
+
+@query("""SELECT id, CASE WHEN least(length(a), length(b)) = 0 AND greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 2.0 * list_sum(list_transform(list_distinct(list_filter(regexp_split_to_array(a, ''), lambda c: c <> '')),
+  lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))) / (length(a) + length(b)) END AS ratio
+  FROM (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_type) AS b FROM part) x""")
+def q_letter_ratio(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), similarity.letter_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
+
+
+@query()
+def q_dedup_clusters(t: Tables) -> DataFrame:
+    """Groups of records that are one publication: blocked, compared, joined; the longest titles and summaries tell."""
+    rows = t.titles.select("id", "title", "summary", F.lit("2020").alias("date"), F.array().cast("array<string>").alias("doi"))
+    return relational.components(dedup.same_pairs(rows, relational.candidate_pairs(_keys(t)), ["doi"]))
+
+
+_MEMBER = """SELECT id % 400 AS cluster_id, id AS rank, k AS pos, CASE k WHEN 0 THEN 'DOI' WHEN 1 THEN 'ISBN' ELSE 'PMID' END AS kind, concat('v', cast((id * 3 + k) % 5 AS string)) AS value, CASE WHEN id % 3 = 0 THEN 'q' END AS qualifier
+  FROM live CROSS JOIN (VALUES (0), (1), (2)) AS n(k) WHERE (id + k) % 4 <> 0"""
+
+
+@query(f"""SELECT cluster_id, kind, value, qualifier FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, kind ORDER BY rank, pos) AS first_of_kind FROM (
+  SELECT cluster_id, kind, value, min(rank) AS rank, min(pos) AS pos, min(qualifier) AS qualifier FROM ({_MEMBER}) m GROUP BY cluster_id, kind, value) x) y WHERE kind = 'ISBN' OR first_of_kind = 1""")
+def q_merge_ids(t: Tables) -> DataFrame:
+    return dedup.merge_ids(t.sql(_MEMBER).withColumn("rank", F.col("rank") + 1))
+
+
+@query("""SELECT cluster_id, code, auto FROM (SELECT cluster_id, code, min(auto) AS auto, min(min(auto)) OVER (PARTITION BY cluster_id) AS low FROM (SELECT id % 400 AS cluster_id, value AS code, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS auto FROM ssif) x GROUP BY cluster_id, code) y WHERE auto = low""")
+def q_merge_classes(t: Tables) -> DataFrame:
+    return dedup.merge_classes(t.ssif.select((F.col("id") % 400).alias("cluster_id"), F.col("value").alias("code"), (F.col("id") % 3 == 0).cast("int").alias("auto")))
+
+
+@query("""SELECT id, field_name, 'validation' AS kind, CASE validation_status WHEN 0 THEN 'invalid' ELSE 'valid' END AS status FROM record_info WHERE field_name = 'ISBN' AND validation_status = 0
+  UNION ALL SELECT id, field_name, 'enrichment' AS kind, 'enriched' AS status FROM record_info WHERE field_name = 'DOI' AND enrichment_status = 1""")
+def q_flag_rows(t: Tables) -> DataFrame:
+    labels = {"validation": {0: "invalid", 1: "valid"}, "enrichment": {0: "unchanged", 1: "enriched", 2: "unsuccessful"}, "normalization": {0: "unchanged", 1: "normalized"}}
+    wanted = export.parse_flags("ISBN_invalid,DOI_enriched", ["ISBN", "DOI"], {k: list(v.values()) for k, v in labels.items()})
+    return export.flag_rows(t.record_info, wanted, labels)
+
+
+@query("""SELECT oai_id, CASE WHEN deleted = 0 THEN data END AS data, deleted FROM (SELECT cast(event_id % 500 AS string) AS oai_id, event_type AS data, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS deleted,
+  row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id % 2 DESC, event_id) AS rn FROM events) x WHERE rn = 1""")
+def q_store(t: Tables) -> DataFrame:
+    rows = t.events.select((F.col("event_id") % 500).cast("string").alias("oai_id"), F.col("event_type").alias("data"), (F.col("event_id") % 7 == 0).alias("deleted"), F.col("event_id").alias("seq"))
+    empty = rows.select("oai_id", "data", F.col("deleted").cast("int").alias("deleted")).where("false")
+    return export.store(export.store(empty, rows.where("seq % 2 = 0")), rows.where("seq % 2 = 1"))
+
+
+@query("""SELECT concat('oai:', source, ':', cast(id AS string)) AS "recordId", CASE WHEN id % 3 = 0 THEN concat('Main ', cast(id AS string)) ELSE concat('Main ', cast(id AS string)) END AS title, CASE WHEN id % 3 = 0 THEN 'Sub' ELSE 'rest' END AS subtitle, yr AS "publicationYear",
+  CASE id % 3 WHEN 0 THEN 'b2' WHEN 1 THEN 'b2,b3,b1' ELSE '' END AS "ISBN", CASE WHEN id % 6 = 0 THEN 'Lee, Ann;Lee, ANN' WHEN id % 6 < 3 THEN 'Lee, Ann;Lee, Bo' ELSE 'Lee, Ann' END AS creators FROM live""")
+def q_export_fields(t: Tables) -> DataFrame:
+    return export.flat(export.project(_docs(t), ["recordId", "title", "subtitle", "publicationYear", "ISBN", "creators"], F.lit("2020-06-30").cast("date")))
