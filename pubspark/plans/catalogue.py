@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import documents, identifiers, similarity, text
+from ..functions import documents, identifiers, mods, similarity, text
 from ..operators import dedup, export, relational, search, stats
 from ..streaming import upserts
 from .adapter import TABLES, expand
@@ -568,3 +568,25 @@ def q_store(t: Tables) -> DataFrame:
   CASE id % 3 WHEN 0 THEN 'b2' WHEN 1 THEN 'b2,b3,b1' ELSE '' END AS "ISBN", CASE WHEN id % 6 = 0 THEN 'Lee, Ann;Lee, ANN' WHEN id % 6 < 3 THEN 'Lee, Ann;Lee, Bo' ELSE 'Lee, Ann' END AS creators FROM live""")
 def q_export_fields(t: Tables) -> DataFrame:
     return export.flat(export.project(_docs(t), ["recordId", "title", "subtitle", "publicationYear", "ISBN", "creators"], F.lit("2020-06-30").cast("date")))
+
+
+_MODS = """SELECT id, concat('<mods><recordInfo><recordContentSource>', CASE WHEN id % 11 = 0 THEN '-.' ELSE source END, '</recordContentSource></recordInfo><genre authority="svep" type="publicationType">', CASE id % 3 WHEN 0 THEN 'art' WHEN 1 THEN 'bok' ELSE 'none' END, '</genre>',
+  CASE WHEN id % 2 = 0 THEN '<genre authority="svep" type="contentType">ref</genre>' ELSE '' END, '<titleInfo><title>Main ', cast(id AS string), '</title></titleInfo><name type="personal"><namePart>A</namePart><role><roleTerm type="code" authority="marcrelator">', CASE WHEN id % 7 = 0 THEN 'ill' ELSE 'aut' END, '</roleTerm></role></name>',
+  CASE WHEN id % 5 = 0 THEN '' ELSE concat('<originInfo><dateIssued>', cast(yr AS string), '</dateIssued></originInfo>') END, CASE WHEN id % 10 = 0 THEN '<note type="publicationStatus">Submitted</note>' ELSE '' END, '<identifier type="uri">u:', cast(id AS string), '</identifier>',
+  '<language><languageTerm type="code" authority="iso639-2b">eng</languageTerm></language>', CASE WHEN id % 4 = 0 THEN '<relatedItem type="host"><titleInfo><title>Journal</title></titleInfo></relatedItem>' ELSE '' END, '</mods>') AS xml FROM live"""
+
+
+@query("""SELECT id, concat(CASE WHEN id % 11 = 0 THEN 'recordContentSourceViolation,' ELSE '' END, CASE WHEN id % 7 = 0 THEN 'nameViolation,' ELSE '' END, CASE WHEN id % 3 = 2 THEN 'publicationOrOutputTypeViolation,' ELSE '' END,
+  CASE WHEN id % 2 <> 0 THEN 'contentTypeViolation,' ELSE '' END, CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN 'publicationDateViolation,' ELSE '' END, CASE WHEN id % 3 = 0 AND id % 4 <> 0 AND id % 10 <> 0 THEN 'relatedItemTypeMissing,' ELSE '' END,
+  CASE WHEN id % 3 = 1 AND id % 4 = 0 THEN 'relatedItemTypeViolation,' ELSE '' END) AS codes FROM live""")
+def q_min_level(t: Tables) -> DataFrame:
+    found = F.array_join(mods.violations(mods.parse(F.col("xml"))), ",")
+    return t.sql(_MODS).select("id", F.when(found == "", "").otherwise(F.concat(found, F.lit(","))).alias("codes"))
+
+
+@query("""SELECT id, concat('Main ', cast(id AS string)) AS title, CASE WHEN id % 5 <> 0 THEN yr END AS yr, CASE id % 3 WHEN 0 THEN CASE WHEN id % 2 = 0 THEN 'v:/output/publication/journal-article' ELSE 'v:/output/publication' END WHEN 1 THEN 'v:/output/publication/book' ELSE '' END AS outputs,
+  CASE WHEN id % 10 = 0 THEN 'submitted' ELSE 'published' END AS status, CASE WHEN id % 4 = 0 THEN 'Journal' END AS channel, concat('u:', cast(id AS string)) AS uri FROM live""")
+def q_convert(t: Tables) -> DataFrame:
+    d = F.col("d")
+    rows = t.sql(_MODS).select("id", documents.parse(mods.convert(F.col("id").cast("string"), mods.parse(F.col("xml")), "v:/")).alias("d"))
+    return rows.select("id", documents.title(d).alias("title"), documents.publication_year(d).alias("yr"), F.array_join(documents.output_types(d), ",").alias("outputs"), documents.search_status(d).alias("status"), documents.publication_channel(d).alias("channel"), documents.archive_uri(d).alias("uri"))
