@@ -1,21 +1,23 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 A seed is a window of ``SPAN`` words of which a fixed mask reads ``1``
-positions and ignores the others, so one changed word still leaves seeds whole
-(the three masks cover any single change in ten words). Seeds of the benchmark
-are joined with those of every window of every document. Around each hit the
-window's words are compared one by one, ignored positions included; hits of
-one document and item on one diagonal (document place - item place) are put
-together, and a document is contaminated if the equal places on a diagonal
-number at least ``share`` of the item's words, or of ``enough`` words if the
-item is longer.
+positions and ignores the others. The masks leave out every pair of places, so
+each window with at most two changed words leaves a seed whole; in items of up
+to 16 words every pattern of changes that the verdict allows has such a
+window, in longer ones every pattern of less than three changes in eight words.
+Seeds of the benchmark are joined with those of every window of every document
+(a place is added at both ends of a document, for passages cut there). Hits
+only name a diagonal (document place - item place): along it the whole item is
+compared with the document, and a document is contaminated if the equal places
+on a diagonal number at least ``share`` of the item's words, or of ``enough``
+words if the item is longer. Items of under SPAN words must occur exactly.
 
 Words are runs of characters other than space and 0x09-0x0D, in lower case.
 
-Cases: null and empty texts and those of under SPAN words have no windows and
-are clean; items of under SPAN words cannot be told from chance and are not
-looked for; rows with one doc_id (null included) share a verdict; repeated
-items count as one each, the smallest item_id is named; other columns play no part.
+Cases: null and empty texts are clean; items without words are not looked for;
+rows with one doc_id (null included) share a verdict, each compared on its own;
+repeated items count as one each, the smallest item_id is named; other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 
 SPAN = 8
-MASKS = ["11101101", "11010111", "10111101"]
-#: Seeds of a benchmark that may be broadcast; a larger one is joined by a shuffle.
+MASKS = ["11010011", "01111001", "11100101", "00110111", "11101010", "10011101", "01011110", "10101011", "10110110", "01001111", "11110100"]
+#: Seeds of a benchmark, or hits, that may be broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 
 
@@ -35,40 +38,54 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(df: DataFrame, *keep: str) -> DataFrame:
-    """A row for each window: ``keep``, pos and the hashes w0.. of its words."""
-    h = df.withColumn("__h", word_hashes(F.col("text"))).where(F.size("__h") >= SPAN)
-    n = F.size("__h") - (SPAN - 1)
-    parts = F.arrays_zip(*(F.slice("__h", k + 1, n).alias(f"w{k}") for k in range(SPAN)))
-    return h.select(*keep, F.posexplode(parts).alias("pos", "__w")).select(*keep, "pos", *(F.col("__w")[f"w{k}"].alias(f"w{k}") for k in range(SPAN)))
+def _windows(df: DataFrame, hashes: str, shortest: int, *keep: str) -> DataFrame:
+    """A row for each window of ``shortest`` words and more: ``keep``, pos and the hashes w0.. of its words (null after the last one)."""
+    n = F.size(hashes) - (shortest - 1)
+    parts = F.arrays_zip(*(F.slice(hashes, k + 1, n).alias(f"w{k}") for k in range(SPAN)))
+    h = df.where(F.size(hashes) >= shortest).select(*keep, F.posexplode(parts).alias("pos", "__w"))
+    return h.select(*keep, "pos", *(F.col("__w")[f"w{k}"].alias(f"w{k}") for k in range(SPAN)))
 
 
-def _seeds(df: DataFrame) -> DataFrame:
-    """A row for each window and mask, with the mask's ``seed``."""
-    seeds = [F.xxhash64(F.lit(m), *(F.col(f"w{k}") for k, x in enumerate(mask) if x == "1")) for m, mask in enumerate(MASKS)]
-    return df.withColumn("seed", F.explode(F.array(*seeds)))
+def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """A row for each window and mask that fits in it, with the mask's ``seed``."""
+    seeds = [F.xxhash64(F.lit(int(m, 2)), F.lit(len(m)), *(F.col(f"w{k}") for k, x in enumerate(m) if x == "1")) for m in masks]
+    return df.withColumn("seed", F.explode(F.array(*(F.when(F.col(f"w{len(m) - 1}").isNotNull(), x) for m, x in zip(masks, seeds, strict=True))))).where("seed IS NOT NULL")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_words of the item, n_equal (the most equal places on one diagonal) and n_hits (windows there)."""
-    items = _seeds(_windows(benchmark.select("item_id", "text").where("text IS NOT NULL"), "item_id"))
-    items = items.select("seed", "item_id", F.col("pos").alias("at"), *(F.col(f"w{k}").alias(f"b{k}") for k in range(SPAN))).distinct()
-    sizes = benchmark.where("text IS NOT NULL").select("item_id", F.size(word_hashes(F.col("text"))).alias("n_words")).groupBy("item_id").agg(F.max("n_words").alias("n_words"))
-    if items.count() <= BROADCAST_SEEDS:
-        items = F.broadcast(items)
-    hits = _seeds(_windows(docs.select("doc_id", "text"), "doc_id")).join(items, "seed")
-    equal = F.array_compact(F.array(*(F.when(F.col(f"w{k}") == F.col(f"b{k}"), F.col("at") + k) for k in range(SPAN))))
-    hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at", equal.alias("equal")).distinct()
-    spots = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("equal")))).cast("long").alias("n_equal"), F.count(F.lit(1)).alias("n_hits"))
-    best = spots.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_hits")).alias("b"))
-    return best.join(sizes, "item_id").select("doc_id", "item_id", F.col("n_words").cast("long"), "b.n_equal", "b.n_hits")
+    texts = benchmark.where("text IS NOT NULL").select("item_id", word_hashes(F.col("text")).alias("b")).where(F.size("b") > 0).distinct()
+    short = sorted(r[0] for r in texts.where(F.size("b") < SPAN).select(F.size("b")).distinct().collect())
+    items = _seeds(_windows(texts, "b", SPAN, "item_id"), MASKS).select("seed", "item_id", F.col("pos").alias("at"))
+    for n in short:
+        whole = texts.where(F.size("b") == n)
+        items = items.unionByName(_seeds(_windows(whole, "b", n, "item_id"), ["1" * n]).select("seed", "item_id", F.col("pos").alias("at")))
+    items = items.distinct()
+    few = items.count() <= BROADCAST_SEEDS
+    edge = F.array(F.lit(0).cast("long"))
+    padded = docs.select("doc_id", F.concat(edge, word_hashes(F.col("text")), edge).alias("h"))
+    windows = _seeds(_windows(padded, "h", min([SPAN, *short]), "doc_id"), MASKS + ["1" * n for n in short])
+    hits = windows.join(F.broadcast(items) if few else items, "seed")
+    hits = hits.select("doc_id", "item_id", (F.col("pos") - 1 - F.col("at")).alias("diagonal"), "at").distinct()
+    spots = written(hits.groupBy("doc_id", "item_id", "diagonal").agg(F.count(F.lit(1)).alias("n_hits"))).withColumnRenamed("doc_id", "__id")
+    ids = spots.select("__id").distinct()
+    if spots.count() <= BROADCAST_SEEDS:
+        spots, ids = F.broadcast(spots), F.broadcast(ids)
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    met = docs.select("doc_id", "text").join(ids, same, "left_semi").select("doc_id", word_hashes(F.col("text")).alias("h"))
+    pairs = met.join(spots, same).join(F.broadcast(texts) if few else texts, "item_id")
+    equal = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda k: F.get(F.col("h"), k + F.col("diagonal")) == F.get(F.col("b"), k))
+    best = pairs.select("doc_id", "item_id", F.size("b").cast("long").alias("n_words"), F.struct(F.size(equal).cast("long").alias("n_equal"), "n_hits").alias("b"))
+    best = best.groupBy("doc_id", "item_id", "n_words").agg(F.max("b").alias("b"))
+    return best.select("doc_id", "item_id", "n_words", "b.n_equal", "b.n_hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, enough: int = 13) -> DataFrame:
     """Of each contaminated document: doc_id, the item with the most equal words (the smallest id of equals), the figures and the number of items."""
-    found = overlaps(docs, benchmark).where(F.col("n_equal") >= F.ceil(F.lit(share) * F.least("n_words", F.lit(enough))))
+    need = F.when(F.col("n_words") < SPAN, F.col("n_words")).otherwise(F.ceil(F.lit(share) * F.least("n_words", F.lit(enough))))
+    found = overlaps(docs, benchmark).where(F.col("n_equal") >= need)
     top = F.max(F.struct(F.col("n_equal"), (-F.col("item_id")).alias("item"), F.col("n_words"), F.col("n_hits")))
-    return found.groupBy("doc_id").agg(top.alias("t"), F.count(F.lit(1)).alias("n_items")).select("doc_id", (-F.col("t.item")).alias("item_id"), F.col("t.n_words").alias("item_words"), F.col("t.n_equal").alias("n_equal"), F.col("t.n_hits").alias("n_hits"), "n_items")
+    return found.groupBy("doc_id").agg(top.alias("t"), F.count_distinct("item_id").alias("n_items")).select("doc_id", (-F.col("t.item")).alias("item_id"), F.col("t.n_words").alias("item_words"), F.col("t.n_equal").alias("n_equal"), F.col("t.n_hits").alias("n_hits"), "n_items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with every odd case."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -259,6 +260,35 @@ def test_decontamination(spark, docs, rows, empty):
         assert decontaminate.contamination_report(one, spark.createDataFrame([(1, " ".join(item[:10]))], "item_id long, text string")).first()["contaminated"], k
 
 
+def test_decontamination_finds_all_that_the_verdict_allows(spark):
+    rng, bench, texts, want = random.Random(3), [], [], {}
+
+    def put(text, found):
+        want[len(texts)] = found
+        texts.append((len(texts), text))
+
+    for n in [*range(8, 17), 20, 40]:
+        item = [f"w{n}-{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        need = -(-4 * min(n, 13) // 5)
+        for changes in (n - need, n - need + 1) if n < 17 else (n // 5,):
+            patterns = list(itertools.combinations(range(n), changes))
+            for gone in patterns if len(patterns) < 100 else rng.sample(patterns, 60):
+                put(" ".join(["before", *("other" if k in gone else w for k, w in enumerate(item)), "after"]), n - changes >= need)
+        if n > 14:
+            put(" ".join("other" if k % 4 == 3 else w for k, w in enumerate(item)), True)
+    eight = [f"w8-{k}" for k in range(8)]
+    put(" ".join(eight[1:] + ["after"]), True)  # cut at the document's start and end
+    put(" ".join(["before", *eight[:-1]]), True)
+    bench += [(1, "Five words stand in here"), (2, "solitary")]
+    for text, found in (("so five words stand in here", True), ("five words stand in there", False), ("five words stand in", False), ("solitary", True), ("a solitary b", True), ("solitar y", False), ("", False)):
+        put(text, found)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = by_id(decontaminate.contamination_report(df, spark.createDataFrame(bench, "item_id long, text string")))
+    assert {i: r["contaminated"] for i, r in got.items()} == want
+    assert all(any(m[a] == m[b] == "0" for m in decontaminate.MASKS) for a, b in itertools.combinations(range(decontaminate.SPAN), 2))
+
+
 def test_urls(spark):
     pages = [(1, "http://www.a.com/en/5?x=1#y"), (2, "https://Example.com/en/77"), (3, "https://b.net/de/8"), (4, "http://c.example.net/de/8x"), (5, None), (6, "no scheme"), (7, "ftp://org/es/"), (8, "http://bcom/en/"), (9, "http://com"), (1, "http://www.a.com/en/5?x=1#y"), (11, "http://x.org/en?://q")]
     pages += [(100 + k, f"http://spam.example.org/fr/{k}.html") for k in range(40)] + [(200 + k, f"http://fine.example.org/fr/{k}") for k in range(40)]
