@@ -305,6 +305,14 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0), labels).count() == 0
 
 
+def test_many_implied_rules_push_out_no_other(spark):
+    long = "http://aa.bb.cc.dd.ee.ff.gg/ha/hb/hc/hd/he/hf/hg"  # 14 tokens, 16,383 sets
+    rows = [(k, long, True) for k in range(30)] + [(100 + k, "http://other/way", k < 27) for k in range(30)]
+    df = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    got = urls.judge_urls(df, spark.createDataFrame([(i, b) for i, _, b in rows], "page_id long, bad boolean")).collect()
+    assert {r["verdict"] for r in got} == {"block"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
