@@ -313,6 +313,15 @@ def test_many_implied_rules_push_out_no_other(spark):
     assert {r["verdict"] for r in got} == {"block"}
 
 
+def test_support_is_a_row_count_at_every_size(spark):
+    df = spark.range(30_000).select(F.col("id").alias("page_id"), F.when(F.col("id") < 25, "http://rare/way").otherwise(F.concat(F.lit("http://fine/"), F.char(F.col("id") % 26 + 97))).alias("url"))
+    labels = df.select("page_id", (F.col("page_id") < 25).alias("bad"))
+    got = urls.judge_urls(df, labels).where("verdict = 'block'").collect()
+    assert sorted(r["page_id"] for r in got) == list(range(25))
+    few = df.where("page_id < 19")
+    assert {r["verdict"] for r in urls.judge_urls(few, labels).collect()} == {"allow"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
