@@ -6,10 +6,13 @@ Feistel network with keyed BLAKE2 rounds, walking the cycle until the result
 lies in the domain, and written in the same format with valid check digits.
 The permutation depends on key, kind and domain only: equal values stay equal
 in all documents and different ones stay different. Values that fail their
-check are left as they are.
+check are left as they are, and the search goes on after their first group, so
+that a number beside a card hides neither it nor other values; cards and IBANs
+are tried at every border of groups, the usual groupings of cards first.
 
-Kinds: card (Luhn; the check digit is made anew), phone, ip, date (ISO, and
-day.month.year with . or /; years 1900-2099 stay there), ssn, iban (country
+Kinds: card (Luhn; the check digit is made anew), phone (international with or
+without groups; national as (415) 555-2671 or 415-555-2671), ip, date (ISO, and
+day.month.year with . or /; years 1900-2099 stay there; of a timestamp the date), ssn, iban (country
 stays, mod 97), email (letters, digits of the local part and of the domain's
 labels but the last), secret (32 or more hex digits with a letter and a digit).
 
@@ -38,14 +41,21 @@ KINDS = ["card", "phone", "ip", "date", "ssn", "iban", "email", "secret"]
 _FIND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?P<phone>(?<![0-9A-Za-z+])\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9A-Za-z]))"
+    r"|(?P<phone2>(?<![0-9A-Za-z+])\+(?:[1-9][0-9]{7,14}|[0-9]{1,3}[ .-]?\(?[0-9]{1,5}\)?[ .-]?[0-9]{3,10}(?:[ .-][0-9]{2,4}){0,3}|[0-9]{1,3}[ .-][0-9](?:[ .-][0-9]{2}){4})(?![0-9A-Za-z]))"
+    r"|(?P<phone3>(?<![0-9A-Za-z(.-])(?:\([0-9]{3}\)[ -]?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.)[0-9]{4}(?![0-9A-Za-z-])(?!\.[0-9]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
-    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]))"
+    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?:(?=T[0-9]{2}:?[0-9]{2})|(?![0-9A-Za-z/-])))"
     r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9]))"
     r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
     r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
 )
-_MAY = re.compile(r"[0-9]{2}|@|[0-9a-f]{32}")
+_MAY = re.compile(r"[0-9][ -]?[0-9]|@|[0-9a-f]{32}")
+_GROUP = re.compile(r"(?:[ -]?)([0-9]+)(?![0-9A-Za-z])")
+_FIRST = re.compile(r"[^0-9A-Za-z]*[0-9A-Za-z]+")
+#: Usual groupings of card numbers, besides a single group.
+CARD_FORMS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 5)]
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
 
 
 class Feistel:
@@ -104,11 +114,41 @@ def _card(f: Feistel, v: str) -> str | None:
     return _refill(v, body + luhn_digit(body))
 
 
+def _card_end(text: str, start: int) -> int | None:
+    """Where the card number that starts here ends, or None.
+
+    An unusual grouping counts only if no usual one begins within it.
+    """
+    groups, at, n = [], start, 0
+    while n < 38 and (m := _GROUP.match(text, at)):
+        groups.append((m.start(1), m.end()))
+        at, n = m.end(), n + len(m[1])
+    digits = [text[a:b] for a, b in groups]
+
+    def valid(i: int, j: int) -> bool:
+        d = "".join(digits[i:j])
+        return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn_digit(d[:-1]) == d[-1]
+
+    def usual(i: int) -> int | None:
+        sizes = tuple(map(len, digits[i : i + 5]))
+        return next((i + len(f) for f in [sizes[:1], *CARD_FORMS] if sizes[: len(f)] == f and valid(i, i + len(f))), None)
+
+    if not groups:
+        return None
+    if j := usual(0):
+        return groups[j - 1][1]
+    later = next((i for i in range(1, len(groups)) if usual(i)), len(groups))
+    return next((groups[j - 1][1] for j in range(later, 0, -1) if valid(0, j)), None)
+
+
 def _phone(f: Feistel, v: str) -> str | None:
-    country = re.match(r"\+[0-9]{1,3}", v)[0]
+    country = "" if v[0] != "+" else re.match(r"\+[0-9]+", v)[0]
+    if len(country) > 4 or country == v:  # no space after the country's code
+        m = _COUNTRY.match(country, 1)
+        country = country[: m.end()]
     rest = v[len(country) :]
     d = re.sub(r"[^0-9]", "", rest)
-    if not 7 <= len(d) <= 12:
+    if not 7 <= len(d) <= 14 or not 8 <= len(d) + len(country) - 1 <= 15 and country:
         return None
     return country + _refill(rest, str(f.permute(int(d), 10 ** len(d), f"phone{country}")).zfill(len(d)))
 
@@ -206,15 +246,24 @@ def pseudonymise(text: str | None, f: Feistel, counts: dict[str, int] | None = N
     if not text or not _MAY.search(text):
         return text
 
-    def put(m: re.Match) -> str:
-        new = _DO[m.lastgroup](f, m[0])
+    out, done, at = [], 0, 0
+    while m := _FIND.search(text, at):
+        kind, start, end = m.lastgroup.rstrip("23"), m.start(), m.end()
+        if kind == "card":
+            ends = [x for x in [_card_end(text, start)] if x]
+        elif kind == "iban":
+            ends = [end, *(start + x.start() for x in reversed(list(re.finditer(" ", m[0]))))]
+        else:
+            ends = [end]
+        new, end = next(((v, e) for e in ends if (v := _DO[kind](f, text[start:e])) is not None), (None, end))
         if new is None:
-            return m[0]
+            at = _FIRST.match(text, start).end()
+            continue
         if counts is not None:
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-        return new
-
-    return _FIND.sub(put, text)
+            counts[kind] = counts.get(kind, 0) + 1
+        out += [text[done:start], new]
+        done = at = end
+    return "".join([*out, text[done:]])
 
 
 def _key(df: DataFrame, key: str | None) -> str:

@@ -123,6 +123,28 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonym_report(empty).count() == 0
 
 
+def test_pseudonyms_beside_other_numbers():
+    f = pii.Feistel("k")
+    card = "4111111111111111"
+    new = pii.pseudonymise(card, f)
+    for form in ("card {} 12/27", "{} 123 cvv", "order 12 {}", "order 12 34 56 {} 7 8", "1 2 3 {}", "{} 2024", "AB12 3456 7890 {}"):
+        assert pii.pseudonymise(form.format(card), f) == form.format(new), form
+    four = "4111 1111 1111 1111"
+    for k in range(1000):
+        for form in ("{} " + f"{k:03}", f"{k} " + "{}", f"{k} 55 66 77 " + "{} 12/27"):
+            assert pii.pseudonymise(form.format(four), f) == form.format(pii.pseudonymise(four, f)), form
+            assert pii.pseudonymise(form.format(card), f) == form.format(new), form
+    assert "WEST" not in pii.pseudonymise("GB82 WEST 1234 5698 7654 32 CODE", f)
+    for v in ("+14155552671", "(415) 555-2671", "415-555-2671", "+49 30 123456", "+33 1 23 45 67 89"):
+        counts = {}
+        got = pii.pseudonymise(f"call {v}, please", f, counts)
+        assert counts == {"phone": 1} and re.sub("[0-9]", "0", got) == re.sub("[0-9]", "0", f"call {v}, please") and v not in got, v
+    digits = lambda v: re.sub("[^0-9]", "", pii.pseudonymise(v, f))
+    assert digits("+14155552671") == digits("+1 (415) 555-2671")
+    got = pii.pseudonymise("2024-02-29T12:30:00Z 2024-02-29", f)
+    assert got[10:21] == "T12:30:00Z " and got[:10] == got[21:] != "2024-02-29"
+
+
 @pytest.mark.parametrize("big", [4096, 1])
 def test_suffixes(spark, docs, rows, empty, monkeypatch, big):
     monkeypatch.setattr(suffixes, "repeats", lambda d, n, f=suffixes.repeats: f(d, n, big))
