@@ -216,14 +216,27 @@ def decode_column(path: str):
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, tokens (ids) and n_tokens of each document."""
-    return docs.select("doc_id", encode_column(path)("text").alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("long"))
+    """doc_id, tokens (ids) and n_tokens of each document, round_trip (the decoded text is the text) and parity (the sentencepiece library's ids are the same)."""
+    kind = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())])
+
+    def run(text: pa.Array) -> pa.Array:
+        codec, texts = PieceCodec.of(path), [t or "" for t in text.to_pylist()]
+        raw = list(codec.encode(texts))
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        back = pa.array([codec.decode(np.frombuffer(x, np.int32)) == t for t, x in zip(texts, raw, strict=True)], pa.bool_())
+        same = pa.array([codec.parity(t, x) for t, x in zip(texts, raw, strict=True)], pa.bool_())
+        return pa.StructArray.from_arrays([ids, back, same], kind.names)
+
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    out = docs.select("doc_id", F.arrow_udf(run, kind)(F.col("text")).alias("v"))
+    return out.select("doc_id", "v.tokens", F.size("v.tokens").cast("long").alias("n_tokens"), "v.round_trip", "v.parity")
 
 
-def codec_digest(docs: DataFrame, path: str, every: int = 20) -> DataFrame:
+def codec_digest(docs: DataFrame, path: str, every: int = 1) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_crc32 (of the decoded text's UTF-8), round_trip (the decoded text is the text) and parity.
 
-    parity compares with the sentencepiece library where crc32(doc_id as text) is divisible by ``every``, and is null elsewhere.
+    parity compares with the sentencepiece library where crc32(doc_id as text) is divisible by ``every`` (every row by default), and is null elsewhere.
     """
     kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())])
 
@@ -237,5 +250,5 @@ def codec_digest(docs: DataFrame, path: str, every: int = 20) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], kind.names)
 
     run.__annotations__ = {"text": pa.Array, "test": pa.Array, "return": pa.Array}
-    test = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % every == 0, F.lit(False))
+    test = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % every == 0, F.lit(every == 1))
     return docs.select("doc_id", F.arrow_udf(run, kind)(F.col("text"), test).alias("v")).select("doc_id", "v.*")

@@ -182,6 +182,15 @@ def test_sentencepiece(spark, docs, rows, empty):
     assert pieces.codec_digest(empty, path).count() == 0
 
 
+def test_sentencepiece_checks_every_row(spark, docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    odd = docs.unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"), allowMissingColumns=True)
+    for got in (pieces.codec_digest(odd, path), pieces.encode_documents(odd, path)):
+        assert got.count() == odd.count() == got.where("round_trip AND parity").count()
+    marker = pieces.encode_documents(spark.createDataFrame([(1, "a\u2581b")], "doc_id long, text string"), path).first()
+    assert not marker["round_trip"] and marker["n_tokens"] == len(marker["tokens"]) > 0
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(spark, docs, rows, empty, percent):
     sets = {}
