@@ -1,8 +1,8 @@
 """Words, lines and hashes of whole Arrow batches of texts, by numpy on the UTF-8 bytes.
 
-A word is a run of bytes other than space and 0x09-0x0D. Hashes are 64 bits:
-prefix sums of keyed bytes times powers of an odd base, so that any span's
-hash needs two lookups. Work goes on in chunks of about ``CHUNK`` bytes of
+A word is a run of bytes other than space and 0x09-0x0D. Hashes are polynomials
+modulo 2^61 - 1: prefix sums of bytes times powers of a base, so that any
+span's hash needs two lookups. Work goes on in chunks of about ``CHUNK`` bytes of
 whole documents, which bounds memory whatever the batch holds.
 """
 
@@ -15,14 +15,16 @@ import pyarrow as pa
 
 CHUNK = 1_000_000
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_KEYS = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Hashes are polynomials modulo this prime: no two structured strings (as those of Thue and Morse) meet for every base, as they do modulo 2^64.
+P = (1 << 61) - 1
+_BASE = 0x1E3779B97F4A7C15 % P
+_STEP = 1 << 16
+_P, _M30, _M31 = U(P), U((1 << 30) - 1), U((1 << 31) - 1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,19 +38,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo P."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shift31(x: np.ndarray) -> np.ndarray:
+    """x * 2^31, not yet reduced, as 2^61 is 1."""
+    return ((x & _M30) << U(31)) + (x >> U(30))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo P, of numbers below P."""
+    ah, al, bh, bl = a >> U(31), a & _M31, b >> U(31), b & _M31
+    return _fold(_fold(ah * bh * U(2) + al * bl) + _shift31(ah * bl + al * bh))
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The base's powers up to n (low 31 bits, high ones), and their inverses."""
     have = _powers.get(0)
     if have is None or len(have[0]) < n:
         size = max(n, CHUNK + (1 << 17))
         both = []
-        for base in (_BASE, _INV):
-            p = np.ones(1, U)
-            step = base
+        for base in (_BASE, pow(_BASE, -1, P)):
+            p, step = np.ones(1, U), base
             while len(p) < size:
-                p = np.concatenate([p, p * U(step)])
-                step = step * step % (1 << 64)
+                p = np.concatenate([p, times(p, np.full(len(p), step, U))])
+                step = step * step % P
             both.append(p[:size])
-        have = (both[0], both[1])
+        have = (both[0] & _M31, both[0] >> U(31), both[1])
         if n <= CHUNK + (1 << 17):
             _powers[0] = have
     return have
@@ -58,12 +77,16 @@ class Spans:
     """Hashes of any [start, end) spans of ``data``."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = _power(len(data) + 1)
+        low, high, self.down = _power(len(data) + 1)
+        key = data.astype(U) + U(1)
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_KEYS[data] * self.up[: len(data)], out=self.sums[1:])
+        for i in range(0, len(data), _STEP):  # sums of so many 40-bit products fit into 64 bits
+            j = min(i + _STEP, len(data))
+            a, b = np.cumsum(key[i:j] * low[i:j]), np.cumsum(key[i:j] * high[i:j])
+            self.sums[i + 1 : j + 1] = _fold(_fold(_shift31(b) + a) + self.sums[i])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return times(_fold(self.sums[end] + (_P - self.sums[start])), self.down[start])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end) + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
