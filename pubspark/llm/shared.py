@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the store that driver and executors share.
 
-    It lies in ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) a local temporary folder takes its place.
+    It lies in ``spark.checkpoint.dir``. Where that is unset, a local temporary
+    folder takes its place in local mode (tests, one machine), and a cluster,
+    whose machines would not share it, is refused.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if not master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="pubspark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/pubspark-{uuid.uuid4().hex}"
@@ -25,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: this cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
-    df.write.options(**options).parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
