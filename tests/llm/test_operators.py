@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -9,10 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pubspark.llm import decontaminate, hmm, neardup, pieces, pii, quality, sharding, suffixes, tokens, urls
+from pubspark.llm.words import chunks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard string, key int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -217,6 +220,16 @@ def test_near_duplicates(spark, docs, rows, empty, percent):
     assert neardup.near_components(empty).count() == 0
 
 
+def brute_place(doc, tree):
+    def least(path, weights):
+        u = lambda k: (int(hashlib.md5(f"{doc}:{path}{k}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return min((-math.log(u(k)) / w, k) for k, w in enumerate(weights) if w)[1]
+
+    region = least("", [sum(w for k in r for _, w in k) for r in tree])
+    rack = least(f"{region}.", [sum(w for _, w in k) for k in tree[region]])
+    return tree[region][rack][least(f"{region}.{rack}.", [w for _, w in tree[region][rack]])][0]
+
+
 def test_sharding(spark, docs, rows, empty):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == len(rows)
@@ -231,15 +244,35 @@ def test_sharding(spark, docs, rows, empty):
     many = spark.range(4000).selectExpr("id AS doc_id", "'x' AS text")
     n = Counter(r["shard"] for r in sharding.shard_documents(many).collect())
     assert len(n) == 24 and max(n.values()) < 240
-    heavy = [[[(0, 1.0), (1, 3.0)], [(2, 1.0)]], [[(3, 1.0)]]]
-    lighter = [[[(0, 1.0), (1, 1.0)], [(2, 1.0)]], [[(3, 1.0)]]]
-    moved = sharding.shard_documents(many, tree=heavy, grown=lighter).where("shard <> grown_shard")
-    assert {r[0] for r in moved.select("shard").distinct().collect()} == {1}  # only what left the lighter shard moved
+    grown = Counter(r["grown_shard"] for r in sharding.shard_documents(many).collect())
+    assert 100 < grown[24] < 230 and len(grown) == 25
+    heavy = [[[(0, 1.0), (1, 3.0)], [(2, 1.0), (3, 1.0)]], [[(4, 1.0)], [(5, 2.0)]], [[(6, 1.0)]]]
+    lighter = [[[(0, 1.0), (1, 1.0)], [(2, 1.0), (3, 1.0)]], [[(4, 1.0)], [(5, 2.0)]], [[(6, 1.0)]]]
+    rows_ = sharding.shard_documents(many, tree=heavy, grown=lighter).collect()
+    region, rack = {k: min(k // 4 + (k == 6), 2) for k in range(7)}, {0: 0, 1: 0, 2: 1, 3: 1}
+    for r in rows_:  # brute force: each level's least draw
+        for c, tree in (("shard", heavy), ("grown_shard", lighter)):
+            assert r[c] == brute_place(r["doc_id"], tree)
+        a, b = r["shard"], r["grown_shard"]
+        if a != b:  # only out of the lighter region, of its lighter rack, or out of the lighter shard
+            assert region[a] == 0 and (region[b] > 0 or (rack[a] == 0 and (rack[b] == 1 or (a, b) == (1, 0))))
+    assert {r["shard"] for r in rows_ if r["shard"] != r["grown_shard"]} == {0, 1, 2, 3}
+    flat = [[[(k, 1.0)]] for k in range(8)]
+    assert sharding.shard_documents(many, tree=sharding.even_tree(8, 2, 2), grown=flat).where("shard <> grown_shard").count() > 2000  # the tree decides, not the leaves alone
+    none = sharding.shard_documents(many.limit(50), tree=[[[(0, 1.0), (1, 0.0)]], [[(2, 0.0)]]]).select("shard").distinct().collect()
+    assert [r[0] for r in none] == [0]
     assert sharding.shard_documents(empty).count() == 0
 
 
 def test_language_model(spark, docs, rows, empty):
     got = by_id(hmm.score_documents(docs, init_rounds=2))
+    split = docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).alias("train"))
+    m = hmm.train(split, init_rounds=2)
+    cls, at = {}, {}
+    for i, t in rows:
+        for c in chunks(pa.array([t])):
+            h, at[i] = hmm.tokens(c)
+            cls[i] = (hmm.classes(h), h)
     toks = {i: [*WORD.findall(lower(t or "")), None] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in toks}
     c = Counter(w for i, t in toks.items() if not held[i] for w in t)
@@ -248,25 +281,70 @@ def test_language_model(spark, docs, rows, empty):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(w in c for w in t), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
-        assert r["score"] < 0
+    inside, kinds = Counter(), Counter()
+    count = Counter(x for i in toks if not held[i] for x in cls[i][1].tolist())
+    for x, k in count.items():
+        inside[int(hmm.classes(np.array([x], np.uint64))[0])] += k
+        kinds[int(hmm.classes(np.array([x], np.uint64))[0])] += 1
+    for i in toks:  # the classes' probability by plain recursion, then each word's within its class
+        want = brute_forward(m, cls[i][0]) + sum(np.log10((count[x] + 0.1) / (inside[k] + 0.1 * (kinds[k] + 1))) for k, x in zip(cls[i][0].tolist(), cls[i][1].tolist()))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6)
     assert hmm.score_documents(empty, init_rounds=1).count() == 0
 
 
-def test_forward_is_exact_and_training_helps():
+def brute_forward(m, cls):
+    a, total = None, 0.0
+    for o in cls:
+        a = (m.start if a is None else a @ m.move) * m.emit[:, o]
+        total += np.log10(a.sum())
+        a = a / a.sum()
+    return total
+
+
+def test_forward_and_counts_are_exact_over_the_borders_of_pieces():
     rng = np.random.default_rng(2)
     m = hmm.begin(3, 1)
-    cls, at = rng.integers(0, hmm.CLASSES + 1, 700), np.array([0, 1, 150, 700])
+    m.move = rng.dirichlet(np.ones(3), 3)
+    cls, at = rng.integers(0, 40, 700), np.array([0, 1, 150, 700])
     got = hmm.forward(m, cls, at)
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES + 1))
     for k in range(3):
-        a, total = None, 0.0
-        for o in cls[at[k] : at[k + 1]]:
-            a = (m.start if a is None else a @ m.move) * m.emit[:, o]
-            total += np.log10(a.sum())
-            a = a / a.sum()
-        assert got[k] == pytest.approx(total)
-    start, move, emit = hmm.expect(m, cls, at)
-    assert start.sum() == pytest.approx(3) and emit.sum() == pytest.approx(700)
-    assert move.sum() == pytest.approx(700 - len(hmm.pieces(at)[0]))
+        o = cls[at[k] : at[k + 1]]
+        assert got[k] == pytest.approx(brute_forward(m, o))
+        n = len(o)
+        alpha, beta = np.zeros((n, 3)), np.ones((n, 3))
+        for t in range(n):
+            alpha[t] = (m.start if t == 0 else alpha[t - 1] @ m.move) * m.emit[:, o[t]]
+            alpha[t] /= alpha[t].sum()
+        for t in range(n - 2, -1, -1):
+            beta[t] = m.move @ (m.emit[:, o[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        for t in range(n):
+            g = alpha[t] * beta[t]
+            g /= g.sum()
+            emit[:, o[t]] += g
+            start += g if t == 0 else 0
+            if t:
+                x = np.outer(alpha[t - 1], m.emit[:, o[t]] * beta[t]) * m.move
+                move += x / x.sum()
+    for a, b in zip(hmm.expect(m, cls, at), (start, move, emit, got.sum())):
+        assert np.allclose(a, b, atol=1e-9)
+    assert move.sum() == pytest.approx(697)
+
+
+def test_baum_welch_raises_the_likelihood_and_beats_one_state(spark):
+    rng = random.Random(4)
+    topics = [[f"t{k}w{i}" for i in range(30)] for k in range(2)]
+    rows = [(i, " ".join(rng.choice(topics[i % 2]) for _ in range(200))) for i in range(120)]
+    df = spark.createDataFrame([(i, t, i < 80) for i, t in rows], "doc_id long, text string, train boolean").coalesce(2)
+    m, means = hmm.begin(2, 3), []
+    for _ in range(6):
+        m, mean = hmm._round(df, m)
+        means.append(mean)
+    assert all(b > a - 1e-6 for a, b in zip(means[1:], means[2:])) and means[-1] > means[0]
+    one = hmm._round(df, hmm.begin(1, 3))[0]
+    held = [hmm.classes(hmm.tokens(next(iter(chunks(pa.array([t])))))[0]) for i, t in rows if i >= 80]
+    assert sum(brute_forward(m, c) for c in held) > sum(brute_forward(one, c) for c in held) + 40 * 20
 
 
 def test_decontamination(spark, docs, rows, empty):
