@@ -14,7 +14,8 @@ Kinds: card (Luhn; the check digit is made anew), phone (international with or
 without groups; national as (415) 555-2671 or 415-555-2671), ip, date (ISO, and
 day.month.year with . or /; years 1900-2099 stay there; of a timestamp the date), ssn, iban (country
 stays, mod 97), email (letters, digits of the local part and of the domain's
-labels but the last), secret (32 or more hex digits with a letter and a digit).
+labels but the last), secret (32 or more hex digits with a letter and a digit; where
+cases are mixed, small and capital letters stay such).
 
 Cases: a null text stays null, an empty one empty; texts without such values
 come back unchanged; repeated rows are treated alike; columns other than the
@@ -33,8 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEY = "pubspark pseudonyms"  # the production key comes from the session's setting below
-SETTING = "spark.pubspark.pii.key"
+SETTING = "spark.pubspark.pii.key"  # the session's setting for the key; there is no default, as whoever knows the key can turn pseudonyms back
 ROUNDS = 8
 KINDS = ["card", "phone", "ip", "date", "ssn", "iban", "email", "secret"]
 
@@ -44,13 +44,13 @@ _FIND = re.compile(
     r"|(?P<phone2>(?<![0-9A-Za-z+])\+(?:[1-9][0-9]{7,14}|[0-9]{1,3}[ .-]?\(?[0-9]{1,5}\)?[ .-]?[0-9]{3,10}(?:[ .-][0-9]{2,4}){0,3}|[0-9]{1,3}[ .-][0-9](?:[ .-][0-9]{2}){4})(?![0-9A-Za-z]))"
     r"|(?P<phone3>(?<![0-9A-Za-z(.-])(?:\([0-9]{3}\)[ -]?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.)[0-9]{4}(?![0-9A-Za-z-])(?!\.[0-9]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
+    r"|(?P<secret>(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))"
     r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?:(?=T[0-9]{2}:?[0-9]{2})|(?![0-9A-Za-z/-])))"
     r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9]))"
     r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
     r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
 )
-_MAY = re.compile(r"[0-9][ -]?[0-9]|@|[0-9a-f]{32}")
+_MAY = re.compile(r"[0-9][ -]?[0-9]|@|[0-9A-Fa-f]{32}")
 _GROUP = re.compile(r"(?:[ -]?)([0-9]+)(?![0-9A-Za-z])")
 _FIRST = re.compile(r"[^0-9A-Za-z]*[0-9A-Za-z]+")
 #: Usual groupings of card numbers, besides a single group.
@@ -69,7 +69,7 @@ class Feistel:
             return x
         half = max(1, ((n - 1).bit_length() + 1) // 2)
         while True:
-            x = self._once(x, half, f"{kind}:{n}", back)
+            x = self._once(x, half, f"{kind}:{n:x}", back)
             if x < n:
                 return x
 
@@ -84,11 +84,10 @@ class Feistel:
 
     def _round(self, x: int, r: int, half: int, tweak: str) -> int:
         size = (half + 7) // 8
-        out, block = b"", 0
-        while len(out) < size:
-            out += hashlib.blake2b(f"{tweak}:{r}:{block}:{x}".encode(), key=self.key, digest_size=min(64, size)).digest()
-            block += 1
-        return int.from_bytes(out[:size], "big")
+        seed = hashlib.blake2b(f"{tweak}:{r}:".encode() + x.to_bytes(size, "big"), key=self.key, digest_size=min(64, size)).digest()
+        if size <= 64:
+            return int.from_bytes(seed, "big")
+        return int.from_bytes(b"".join(hashlib.blake2b(seed + k.to_bytes(8, "big"), key=self.key).digest() for k in range(-(-size // 64)))[:size], "big")
 
 
 def luhn_digit(body: str) -> str:
@@ -208,9 +207,14 @@ def _iban(f: Feistel, v: str) -> str | None:
     return "".join(" " if c == " " else next(it) for c in v)
 
 
-def _classes(f: Feistel, v: str, kind: str) -> str:
+LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+HEX = ("0123456789", "abcdef", "ABCDEF")
+PART = 256  # characters of mixed cases that make one number
+
+
+def _classes(f: Feistel, v: str, kind: str, alphabets: tuple[str, ...] = LETTERS) -> str:
     """Permute the digits and letters of v, each within its class, as one mixed-radix number."""
-    sets = [next((s for s in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in s), None) for c in v]
+    sets = [next((s for s in alphabets if c in s), None) for c in v]
     x, n = 0, 1
     for c, s in zip(v, sets, strict=True):
         if s:
@@ -235,7 +239,10 @@ def _email(f: Feistel, v: str) -> str | None:
 def _secret(f: Feistel, v: str) -> str | None:
     if v.isdigit() or v.isalpha():
         return None
-    x = f.permute(int(v, 16), 16 ** len(v), "secret")
+    if v != v.lower() and v != v.upper():  # part by part, each under what stood before it
+        seal = lambda i: hashlib.blake2b(v[:i].encode(), key=f.key, digest_size=16).hexdigest() if i else len(v)
+        return "".join(_classes(f, v[i : i + PART], f"mixed{seal(i)}", HEX) for i in range(0, len(v), PART))
+    x = f.permute(int(v, 16), 1 << 4 * len(v), "secret")
     return format(x, f"0{len(v)}x" if v == v.lower() else f"0{len(v)}X")
 
 
@@ -267,7 +274,10 @@ def pseudonymise(text: str | None, f: Feistel, counts: dict[str, int] | None = N
 
 
 def _key(df: DataFrame, key: str | None) -> str:
-    return key or df.sparkSession.conf.get(SETTING, KEY)
+    key = key or df.sparkSession.conf.get(SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: pass one, or set {SETTING}")
+    return key
 
 
 def pseudonym_column(key: str):

@@ -13,6 +13,8 @@ from .shared import table
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+#: The key under which the registered query and the pipeline replace the test tables' invented data where the session sets none. It is public: for real data set ``pii.SETTING``.
+TEST_KEY = "invented data only"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonym_report(table(spark, sf_dir, "documents"))
+    return pii.pseudonym_report(table(spark, sf_dir, "documents"), spark.conf.get(pii.SETTING, TEST_KEY))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of a page are those of the document of the same number."""
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return urls.judge_urls(table(spark, sf_dir, "pages"), labels)
+    return urls.judge_urls(table(spark, sf_dir, "pages"), labels).drop("mined")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
