@@ -5,7 +5,9 @@ normaliser (dummy prefix, metaspace marker), the unigram scores or the merges
 that a BPE model's scores stand for, and byte fallback. ``PieceCodec`` encodes
 batches in the library's threads, chunk by chunk through a bounded cache: where
 no piece has a marker after another character, texts can be cut before each
-run of markers. ``parity`` compares with the sentencepiece library itself.
+run of markers (a marker character in the text counts as a space, as in the
+model). Decoding is the library's decoder, batch by batch, too. ``parity``
+compares ids with the sentencepiece library itself.
 
 Cases: a null or empty text has no ids and decodes to the empty text; rows
 with equal ids or texts are encoded alike; every byte has a piece, so only a
@@ -140,7 +142,9 @@ class PieceCodec:
 
         self.inner = build(self.model)  # encodes chunks, which have their markers already
         self.inner.normalizer = normalizers.Sequence([])
-        self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
+        kinds = np.array([t for *_, t in self.model.pieces])
+        self.silent, self.unknown = kinds == CONTROL, int(np.flatnonzero(kinds == UNKNOWN)[0])
+        self.mark = next((i for i, (p, *_) in enumerate(self.model.pieces) if p == MARK), self.unknown)
 
     @staticmethod
     def of(path: str) -> PieceCodec:
@@ -167,7 +171,7 @@ class PieceCodec:
             if not self.cuts:
                 yield from (np.array(e.ids, np.int32).tobytes() if t else b"" for t, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
                 continue
-            split = [self.chunks.findall(" " + t) if t else [] for t in some]
+            split = [self.chunks.findall(" " + t.replace(MARK, " ")) if t else [] for t in some]
             if len(self.cache) > CACHE:
                 self.cache.clear()
             found = [list(map(self.cache.get, s)) for s in split]
@@ -179,8 +183,24 @@ class PieceCodec:
                     f[k] = self.cache[s[k]]
             yield from map(b"".join, found)  # only now: whoever takes them may encode other texts between
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, raw: list[bytes]) -> list[str]:
+        """The texts of lists of ids (little-endian 32-bit integers), by the library's decoder; control pieces say nothing."""
+        out: list[str] = []
+        for i in range(0, len(raw), GROUP):
+            some = [np.frombuffer(x, np.int32) for x in raw[i : i + GROUP]]
+            some = [x[~self.silent[x]] if self.silent[x].any() else x for x in some]
+            found = self.tokenizer.decode_batch([x.tolist() for x in some], skip_special_tokens=False)
+            for k, x in enumerate(some):
+                if (x == self.unknown).any():  # the library has no sign for it
+                    found[k] = self._with_unknown(x)
+            out += found
+        return out
+
+    def _with_unknown(self, ids: np.ndarray) -> str:
+        """The unknown piece stands as a sign between spaces, as in the sentencepiece library."""
+        parts = [p for p in np.split(ids, np.flatnonzero(ids == self.unknown))]
+        texts = [self.tokenizer.decode([self.mark, *p[p != self.unknown].tolist()], skip_special_tokens=False) for p in parts]
+        text = " \u2047 ".join(texts)
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
     def parity(self, text: str, raw: bytes | None = None) -> bool:
@@ -208,8 +228,8 @@ def decode_column(path: str):
     """A column function of the ids: the text."""
 
     def run(ids: pa.Array) -> pa.Array:
-        codec, at, values = PieceCodec.of(path), np.asarray(ids.offsets), np.asarray(ids.values)
-        return pa.array([codec.decode(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+        at, values = np.asarray(ids.offsets), np.asarray(ids.values).astype(np.int32, copy=False)
+        return pa.array(PieceCodec.of(path).decode([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]), pa.string())
 
     run.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, T.StringType())
@@ -224,7 +244,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         raw = list(codec.encode(texts))
         at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-        back = pa.array([codec.decode(np.frombuffer(x, np.int32)) == t for t, x in zip(texts, raw, strict=True)], pa.bool_())
+        back = pa.array([x == t for t, x in zip(texts, codec.decode(raw), strict=True)], pa.bool_())
         same = pa.array([codec.parity(t, x) for t, x in zip(texts, raw, strict=True)], pa.bool_())
         return pa.StructArray.from_arrays([ids, back, same], kind.names)
 
@@ -242,9 +262,8 @@ def codec_digest(docs: DataFrame, path: str, every: int = 1) -> DataFrame:
 
     def run(text: pa.Array, test: pa.Array) -> pa.Array:
         codec, texts = PieceCodec.of(path), [t or "" for t in text.to_pylist()]
-        rows = []
-        for t, asked, raw in zip(texts, test.to_pylist(), codec.encode(texts), strict=True):
-            back = codec.decode(np.frombuffer(raw, np.int32))
+        ids, rows = list(codec.encode(texts)), []
+        for t, asked, raw, back in zip(texts, test.to_pylist(), ids, codec.decode(ids), strict=True):
             rows.append((len(raw) // 4, zlib.crc32(raw), zlib.crc32(back.encode()), back == t, codec.parity(t, raw) if asked else None))
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], kind.names)

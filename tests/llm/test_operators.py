@@ -116,14 +116,77 @@ def test_pseudonyms(spark, docs, empty):
         assert v not in one
     for v in ("4111111111111112", "999.1.1.1", "2024-13-01"):
         assert v in one
-    assert [len(x) for x in re.findall(r"[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}", one)] == [19, 19][:1] or True
+    assert len(re.findall(r"[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}", one)) == 1
     card = re.search(r"(?:[0-9]{4} ){3}[0-9]{4}", one)[0].replace(" ", "")
     assert pii.luhn_digit(card[:-1]) == card[-1]
     df = spark.createDataFrame([(1, text, 3), (2, text + " again", 3), (3, None, 3), (4, "", 3), (5, "clean", 3)], "doc_id long, text string, n_card int")
-    got = by_id(pii.pseudonymise_documents(df))
+    got = by_id(pii.pseudonymise_documents(df, "k"))
+    assert got[1]["text"] == one
     assert got[2]["text"] == got[1]["text"] + " again" and got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "clean"
-    assert pii.pseudonymise_documents(docs).columns == docs.columns
-    assert pii.pseudonym_report(empty).count() == 0
+    assert pii.pseudonymise_documents(docs, "k").columns == docs.columns
+    assert pii.pseudonym_report(empty, "k").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonym_report(docs)
+
+
+def test_hex_secrets_of_any_length_and_case():
+    f, g = pii.Feistel("k"), pii.Feistel("other")
+    rng = random.Random(6)
+    for n in (32, 33, 64, 128, 129, 300, 9000):
+        for alphabet in ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEF"):
+            v = "a0B1"[: 2 if "A" not in alphabet else 4].upper() if "a" not in alphabet else "a0B1"[: 4 if "A" in alphabet else 2]
+            v += "".join(rng.choice(alphabet) for _ in range(n - len(v)))
+            new = pii.pseudonymise(f"key {v}.", f)
+            assert len(new) == n + 5 and v not in new and set(new[4:-1]) <= set(alphabet), (n, alphabet)
+            if len(alphabet) > 16:
+                assert [pii.HEX[0].find(c) >= 0 for c in v] == [pii.HEX[0].find(c) >= 0 for c in new[4:-1]]
+            assert pii.pseudonymise(f"again {v}", f) == "again " + new[4:-1] and pii.pseudonymise(f"key {v}.", g) != new
+    assert len({pii.pseudonymise("aB0" * 200 + c, f) for c in "0123456789"}) == 10
+
+
+def test_pseudonyms_against_texts_put_together_by_hand(spark):
+    """Every value of every kind in random texts, replaced by a plain walk over the pieces that the text was made of."""
+    rng, f = random.Random(8), pii.Feistel("k")
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + number(14)
+        d = body + next(c for c in "0123456789" if sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(body + c))) % 10 == 0)
+        return rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
+
+    make = {
+        "card": card,
+        "phone": lambda: rng.choice([f"+1 ({rng.randint(200, 999)}) 555-{number(4)}", f"({rng.randint(200, 999)}) 555-{number(4)}"]),
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+        "ssn": lambda: f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}",
+        "email": lambda: f"{rng.choice(['ann', 'bo.lee', 'x9'])}{number(2)}@mail{number(1)}.example.org",
+        "secret": lambda: "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38)),
+    }
+    rows, want = [], {}
+    for i in range(300):
+        text, new, counts = "", "", Counter()
+        for _ in range(rng.randint(0, 6)):
+            plain = " ".join(rng.choice(["plain", "words", "v2", "7", "x-ray", "Zürich"]) for _ in range(rng.randint(1, 4)))
+            kind = rng.choice(list(make))
+            value = make[kind]()
+            text += f"{plain}: {value}; "
+            new += f"{plain}: {pii._DO[kind](f, value)}; "
+            counts[kind] += 1
+        rows.append((i, text))
+        want[i] = (new, counts)
+    got = by_id(pii.pseudonym_report(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    for i, (new, counts) in want.items():
+        assert got[i]["text"] == new and {k: got[i][f"n_{k}"] for k in pii.KINDS} == {k: counts[k] for k in pii.KINDS}
+    seen = {}  # a permutation: different values stay different, and their form and checks stay
+    for kind, one in make.items():
+        for _ in range(300):
+            v = one()
+            w = pii._DO[kind](f, v)
+            assert seen.setdefault((kind, w), re.sub("[ -]", "", v) if kind == "card" else v) == (re.sub("[ -]", "", v) if kind == "card" else v)
+            assert pii._DO[kind](f, w) is not None and re.sub("[0-9a-f]", "0", v) == re.sub("[0-9a-f]", "0", w) if kind not in ("ip", "email") else True
 
 
 def test_pseudonyms_beside_other_numbers():
@@ -190,8 +253,59 @@ def test_sentencepiece_checks_every_row(spark, docs):
     odd = docs.unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"), allowMissingColumns=True)
     for got in (pieces.codec_digest(odd, path), pieces.encode_documents(odd, path)):
         assert got.count() == odd.count() == got.where("round_trip AND parity").count()
-    marker = pieces.encode_documents(spark.createDataFrame([(1, "a\u2581b")], "doc_id long, text string"), path).first()
-    assert not marker["round_trip"] and marker["n_tokens"] == len(marker["tokens"]) > 0
+    marks = spark.createDataFrame([(1, "a\u2581b"), (2, "a\u2581 b"), (3, "\u2581 \u2581\u2581x \u2581")], "doc_id long, text string")
+    got = pieces.encode_documents(marks, path)
+    assert got.where("parity AND NOT round_trip").count() == 3  # the marker comes back as a space
+
+
+def test_odd_texts_have_the_library_s_ids():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, codec, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceCodec(path), random.Random(0)
+    for _ in range(3000):
+        t = "".join(rng.choice(["\u2581", " ", "a", "b", ".", "\n", "é", "e\u0301", "😀", "1", "  ", "the", "\x00", "\t", "Ⅷ", "日本", "<s>", "<unk>"]) for _ in range(rng.randint(0, 14)))
+        raw = next(codec.encode([t]))
+        assert sp.encode(t) == np.frombuffer(raw, np.int32).tolist(), t
+        assert codec.decode([raw])[0] == sp.decode(np.frombuffer(raw, np.int32).tolist()) == t.replace("\u2581", " "), t
+    assert codec.decode([np.array([1, *sp.encode("x y"), 2], np.int32).tobytes()]) == ["x y"]
+
+
+def test_a_unigram_model(tmp_path):
+    """A model written by hand: pieces with scores, with and without byte fallback."""
+    import sentencepiece
+    import struct
+
+    def message(*fields):
+        out = b""
+        for k, v in fields:
+            if isinstance(v, int):
+                out += bytes([k << 3 & 127 | 128, k >> 4]) + bytes([v]) if k > 15 else bytes([k << 3, v])
+            elif isinstance(v, float):
+                out += bytes([k << 3 | 5]) + struct.pack("<f", v)
+            else:
+                n = len(v)
+                out += bytes([k << 3 | 2]) + (bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])) + v
+        return out
+
+    words = {"\u2581": -2.0, "\u2581the": -3.0, "\u2581cat": -4.5, "s": -3.5, "c": -5.1, "a": -5.2, "t": -5.3, "at": -4.9, "\u2581c": -5.0, "h": -6.1, "e": -6.2, "he": -5.7, ".": -3.9, "\u2581\u2581": -4.1}
+    for fallback in (False, True):
+        pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []) + [(p, x, 1) for p, x in words.items()]
+        raw = b"".join(message((1, message((1, p.encode()), (2, x), (3, k)))) for p, x, k in pieces_)
+        raw += message((2, message((3, 1), (35, int(fallback))))) + message((3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+        path = tmp_path / f"unigram{fallback}.model"
+        path.write_bytes(raw)
+        sp, codec, rng = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.PieceCodec(str(path)), random.Random(1)
+        assert codec.model.kind == pieces.UNIGRAM and codec.model.byte_fallback == fallback and codec.cuts
+        for _ in range(500):
+            t = "".join(rng.choice(["the", "cat", "s", " ", "  ", "c", "a", "t", "h", "é" if fallback else "e", "."]) for _ in range(rng.randint(1, 12)))
+            ids = codec.encode([t])
+            raw_ids = next(ids)
+            assert sp.encode(t) == np.frombuffer(raw_ids, np.int32).tolist(), t
+            assert codec.decode([raw_ids]) == [t]
+        if not fallback:
+            odd = sp.encode("the xcat")
+            assert np.frombuffer(next(codec.encode(["the xcat"])), np.int32).tolist() == odd and codec.decode([np.array(odd, np.int32).tobytes()]) == [sp.decode(odd)]
 
 
 @pytest.mark.parametrize("percent", [85, 80])
