@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pubspark.llm import decontaminate, neardup, pieces, pii, quality
-from pubspark.llm.queries import PIECES
+from pubspark.llm.queries import PIECES, TEST_KEY
 from pubspark.llm.shared import table, written
 
 
@@ -28,7 +28,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(docs)
+    return pii.pseudonymise_documents(docs, spark.conf.get(pii.SETTING, TEST_KEY))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
