@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -536,6 +537,37 @@ def test_many_implied_rules_push_out_no_other(spark):
     assert {r["verdict"] for r in got} == {"block"}
 
 
+def test_copies_of_a_long_url_are_mined_at_once(spark):
+    long = "http://" + ".".join(f"h{k}" for k in range(20)) + "/" + "/".join(f"p{'abcdefghijklmnopqrst'[k]}" for k in range(20))
+    rows = [(k, long, True) for k in range(25)] + [(100 + k, "http://h0.h1/pa/fine", False) for k in range(40)] + [(200 + k, "http://h2/pb", k < 26) for k in range(30)]
+    df = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    began = time.perf_counter()
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, spark.createDataFrame([(i, b) for i, _, b in rows], "page_id long, bad boolean")).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(got[i] == ("allow" if 100 <= i < 200 else "block") for i, *_ in rows)
+
+
+def test_rules_against_all_sets_of_tokens(spark):
+    rng = random.Random(12)
+    words = [f"t{c}" for c in "abcdefg"]
+    rows = []
+    for k in range(160):
+        w = rng.sample(words, rng.randint(1, 5))
+        bad = ("ta" in w and "tb" in w and rng.random() < 0.9) or ("tc" in w and "td" in w and "te" in w) or rng.random() < 0.1
+        rows.append((k, "http://host/" + "/".join(w), bad))
+    df = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(1000, "http://host/ta/tb"), (1001, "http://other/tc/td/te/tq"), (1002, "http://other/ta")], "page_id long, url string")
+    tokens = {i: frozenset(["host:" + u.split("/")[2], *("path:" + x for x in u.split("/")[3:])]) for i, u, _ in [*rows, (1000, "http://host/ta/tb", 0), (1001, "http://other/tc/td/te/tq", 0), (1002, "http://other/ta", 0)]}
+    every = {frozenset(c) for t in tokens.values() for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}
+    rules = set()
+    for s in every:
+        have = [b for i, _, b in rows if s <= tokens[i]]
+        if sum(have) >= 8 and sum(have) >= 0.8 * len(have):
+            rules.add(s)
+    want = {i: "block" if any(s <= t for s in rules) else "allow" for i, t in tokens.items()}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, spark.createDataFrame([(i, b) for i, _, b in rows], "page_id long, bad boolean"), min_count=8).collect()}
+    assert got == want and {"block", "allow"} <= set(want.values()) and any(len(s) > 1 and not any(r < s for r in rules) for s in rules)
+
+
 def test_support_is_a_row_count_at_every_size(spark):
     df = spark.range(30_000).select(F.col("id").alias("page_id"), F.when(F.col("id") < 25, "http://rare/way").otherwise(F.concat(F.lit("http://fine/"), F.char(F.col("id") % 26 + 97))).alias("url"))
     labels = df.select("page_id", (F.col("page_id") < 25).alias("bad"))
