@@ -16,8 +16,9 @@ Words are runs of characters other than space and 0x09-0x0D, in lower case.
 
 Cases: null and empty texts are clean; items without words are not looked for;
 rows with one doc_id (null included) share a verdict, each compared on its own;
-repeated items count as one each, the smallest item_id is named; other columns
-play no part.
+item_ids may be of any type that sorts, null among them; an item_id with
+several texts stands for each; the item with the most equal places is named,
+of several the smallest item_id (null before all); other columns play no part.
 """
 
 from __future__ import annotations
@@ -53,46 +54,49 @@ def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_words of the item, n_equal (the most equal places on one diagonal) and n_hits (windows there)."""
-    texts = benchmark.where("text IS NOT NULL").select("item_id", word_hashes(F.col("text")).alias("b")).where(F.size("b") > 0).distinct()
+    """doc_id, item_id, n_words of the item and n_equal (the most equal places on one diagonal)."""
+    texts = benchmark.where("text IS NOT NULL").select(F.col("item_id").alias("__item"), word_hashes(F.col("text")).alias("b")).where(F.size("b") > 0)
+    # items are known by their words: equal ones are one
+    texts = texts.withColumn("item", F.sha2(F.concat_ws(" ", F.transform("b", lambda x: x.cast("string"))), 256)).groupBy("item").agg(F.min(F.struct("__item")).alias("__least"), F.any_value("b").alias("b"))
+    names = texts.select("item", F.col("__least.__item").alias("item_id"), F.size("b").cast("long").alias("n_words"))
     short = sorted(r[0] for r in texts.where(F.size("b") < SPAN).select(F.size("b")).distinct().collect())
-    items = _seeds(_windows(texts, "b", SPAN, "item_id"), MASKS).select("seed", "item_id", F.col("pos").alias("at"))
+    items = _seeds(_windows(texts, "b", SPAN, "item"), MASKS).select("seed", "item", F.col("pos").alias("at"))
     for n in short:
         whole = texts.where(F.size("b") == n)
-        items = items.unionByName(_seeds(_windows(whole, "b", n, "item_id"), ["1" * n]).select("seed", "item_id", F.col("pos").alias("at")))
+        items = items.unionByName(_seeds(_windows(whole, "b", n, "item"), ["1" * n]).select("seed", "item", F.col("pos").alias("at")))
     items = items.distinct()
     few = items.count() <= BROADCAST_SEEDS
     edge = F.array(F.lit(0).cast("long"))
     padded = docs.select("doc_id", F.concat(edge, word_hashes(F.col("text")), edge).alias("h"))
     windows = _seeds(_windows(padded, "h", min([SPAN, *short]), "doc_id"), MASKS + ["1" * n for n in short])
     hits = windows.join(F.broadcast(items) if few else items, "seed")
-    hits = hits.select("doc_id", "item_id", (F.col("pos") - 1 - F.col("at")).alias("diagonal"), "at").distinct()
-    spots = written(hits.groupBy("doc_id", "item_id", "diagonal").agg(F.count(F.lit(1)).alias("n_hits"))).withColumnRenamed("doc_id", "__id")
+    hits = hits.select("doc_id", "item", (F.col("pos") - 1 - F.col("at")).alias("diagonal"))
+    spots = written(hits.distinct()).withColumnRenamed("doc_id", "__id")
     ids = spots.select("__id").distinct()
     if spots.count() <= BROADCAST_SEEDS:
         spots, ids = F.broadcast(spots), F.broadcast(ids)
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
     met = docs.select("doc_id", "text").join(ids, same, "left_semi").select("doc_id", word_hashes(F.col("text")).alias("h"))
-    pairs = met.join(spots, same).join(F.broadcast(texts) if few else texts, "item_id")
+    pairs = met.join(spots, same).join(F.broadcast(texts.select("item", "b")) if few else texts.select("item", "b"), "item")
     equal = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda k: F.get(F.col("h"), k + F.col("diagonal")) == F.get(F.col("b"), k))
-    best = pairs.select("doc_id", "item_id", F.size("b").cast("long").alias("n_words"), F.struct(F.size(equal).cast("long").alias("n_equal"), "n_hits").alias("b"))
-    best = best.groupBy("doc_id", "item_id", "n_words").agg(F.max("b").alias("b"))
-    return best.select("doc_id", "item_id", "n_words", "b.n_equal", "b.n_hits")
+    best = pairs.select("doc_id", "item", F.size(equal).cast("long").alias("n_equal")).groupBy("doc_id", "item").agg(F.max("n_equal").alias("n_equal"))
+    return best.join(F.broadcast(names) if few else names, "item").select("doc_id", "item_id", "n_words", "n_equal")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, enough: int = 13) -> DataFrame:
-    """Of each contaminated document: doc_id, the item with the most equal words (the smallest id of equals), the figures and the number of items."""
+    """Of each contaminated document: doc_id, the item with the most equal words (the smallest id of equals), the figures and the number of item_ids."""
     need = F.when(F.col("n_words") < SPAN, F.col("n_words")).otherwise(F.ceil(F.lit(share) * F.least("n_words", F.lit(enough))))
     found = overlaps(docs, benchmark).where(F.col("n_equal") >= need)
-    top = F.max(F.struct(F.col("n_equal"), (-F.col("item_id")).alias("item"), F.col("n_words"), F.col("n_hits")))
-    return found.groupBy("doc_id").agg(top.alias("t"), F.count_distinct("item_id").alias("n_items")).select("doc_id", (-F.col("t.item")).alias("item_id"), F.col("t.n_words").alias("item_words"), F.col("t.n_equal").alias("n_equal"), F.col("t.n_hits").alias("n_hits"), "n_items")
+    top = F.min(F.struct((-F.col("n_equal")).alias("less"), F.col("item_id"), F.col("n_words")))
+    many = F.count_distinct("item_id") + F.max(F.col("item_id").isNull().cast("long"))
+    return found.groupBy("doc_id").agg(top.alias("t"), many.alias("n_items")).select("doc_id", F.col("t.item_id").alias("item_id"), F.col("t.n_words").alias("item_words"), (-F.col("t.less")).alias("n_equal"), "n_items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Every document's doc_id and whether it is contaminated, with the figures of the item found."""
     bad = contaminated(docs, benchmark, **options).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return rows.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", "item_words", "n_equal", "n_hits", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    return rows.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), "item_id", "item_words", "n_equal", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

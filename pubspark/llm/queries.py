@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, neardup, pieces, pii, quality, sharding, suffixes, tokens, urls
+from . import decontaminate, hmm, neardup, oracles, pieces, pii, quality, sharding, suffixes, tokens, urls
 from .shared import table
 
 WORDS = "word_bpe_49k.json"
@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_near_duplicates, op7_sharding, op8_language_model, op9_decontamination, op10_url_filters,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
