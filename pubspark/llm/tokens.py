@@ -1,7 +1,8 @@
 """Token ids in Parquet files for selective reads.
 
-``write_tokens`` deals documents by ranges of doc_id, encodes each range in
-order and writes one file for each, with the columns doc_id, part, local_start
+``write_tokens`` deals documents by ranges of doc_id, as many as the texts' size
+asks for (``FILE_BYTES`` each) and at least one for each shuffle partition,
+encodes each range in order and writes one file for each, with the columns doc_id, part, local_start
 (ids before the row in its file), n_tokens and tokens, a list of 32-bit ids.
 Tokens are dictionary-encoded (a vocabulary is far smaller than a row group),
 the other columns delta-encoded (version 2 pages). Row groups and pages have
@@ -13,7 +14,7 @@ Encoding goes word by word through a bounded cache: the vocabulary's pattern
 never crosses white space, so a text's ids are its words' ids in a row.
 
 Cases: a null or empty text has the end id alone; rows with the same doc_id
-all stay, in order of their text; null ids come first; further columns of the
+all stay, in order of their text's hash; null ids come first; further columns of the
 input are left out, whatever their names.
 """
 
@@ -34,6 +35,7 @@ from pyspark.sql.window import Window
 from .shared import partitions, shared_dir
 
 CACHE = 600_000  # words that a worker keeps; beyond it the cache starts anew
+FILE_BYTES = 64 << 20  # of text, about, in one file
 GROUP = 256  # documents whose unknown words are encoded in one call
 _WRITE = {
     "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
@@ -143,7 +145,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ro
                 start += int(at[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(partitions(docs), -(-size // FILE_BYTES))
+    # by text too, so that the rows of one id may lie in several files
+    dealt = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows = dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(encode, f"doc_id {kind}, part int, local_start bigint, n_tokens bigint, tokens array<int>")
     rows.write.options(**_WRITE, **{"parquet.block.size": str(row_group_bytes)}).parquet(path)
 

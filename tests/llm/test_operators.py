@@ -70,6 +70,46 @@ def test_token_files(spark, docs, rows, empty):
     assert tokens.token_digest(empty, path).count() == 0
 
 
+def test_token_files_allow_selective_reads(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and number "), F.col("id").cast("string")).alias("text"))
+    again = df.unionByName(spark.createDataFrame([(5, "other text"), (None, "no id"), (5, None)], "doc_id long, text string"))
+    tokens.write_tokens(again, f"file://{tmp_path}/t", path, row_group_bytes=20_000)
+    files = list((tmp_path / "t").glob("*.parquet"))
+    groups = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                col = meta.row_group(g).column(c)
+                assert col.has_offset_index and (col.has_column_index or not col.is_stats_set)
+                if col.path_in_schema.startswith("tokens"):
+                    assert "RLE_DICTIONARY" in col.encodings
+                elif col.path_in_schema in ("doc_id", "local_start", "n_tokens"):
+                    assert "DELTA_BINARY_PACKED" in col.encodings and "RLE_DICTIONARY" not in col.encodings
+    assert groups > len(files)
+    got = tokens.read_tokens(spark, f"file://{tmp_path}/t")
+    assert got.count() == 9003 and got.where("doc_id = 5").count() == 3 and got.where("doc_id IS NULL AND start = 0").count() == 1
+    rows = sorted(got.select("start", "n_tokens").collect())
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+    plan = tokens.read_tokens(spark, f"file://{tmp_path}/t", ["doc_id", "n_tokens"]).where("doc_id = 77")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in text.splitlines() if "FileScan" in x and "doc_id" in x)
+    assert "tokens:array" not in scan and "EqualTo(doc_id,77)" in scan and plan.count() == 1
+
+
+def test_quality_on_labels_that_it_has_not_seen(spark):
+    """Half of the labelled documents calibrate, the other half counts."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = quality.quality_scores(docs, labels.where(even)).join(labels.where(~even), "doc_id")
+    rate = {q: [r["kept"] for r in got.where(F.col("quality") == q).collect()] for q in (0, 1)}
+    assert len(rate[0]) > 15 and np.mean(rate[0]) < 0.1 and np.mean(rate[1]) > 0.97
+
+
 def brute_stats(t):
     w = WORD.findall(t or "")
     c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -513,6 +553,14 @@ def test_decontamination_finds_all_that_the_verdict_allows(spark):
     assert all(any(m[a] == m[b] == "0" for m in decontaminate.MASKS) for a, b in itertools.combinations(range(decontaminate.SPAN), 2))
 
 
+def test_benchmark_items_of_any_id(spark):
+    words = lambda k: " ".join(f"{k}x{i}" for i in range(12))
+    df = spark.createDataFrame([(1, "a " + words("p") + " " + words("q")), (2, words("r")), (3, words("s")), (4, "clean text"), (5, words("p"))], "doc_id long, text string")
+    bench = spark.createDataFrame([("b", words("p")), ("a", words("q")), (None, words("r")), ("b", words("s")), ("c", words("s")), (None, None)], "item_id string, text string")
+    got = {i: tuple(r)[1:] for i, r in by_id(decontaminate.contamination_report(df, bench)).items()}
+    assert got == {1: (True, "a", 12, 12, 2), 2: (True, None, 12, 12, 1), 3: (True, "b", 12, 12, 1), 4: (False, None, None, None, 0), 5: (True, "b", 12, 12, 1)}
+
+
 def test_urls(spark):
     pages = [(1, "http://www.a.com/en/5?x=1#y"), (2, "https://Example.com/en/77"), (3, "https://b.net/de/8"), (4, "http://c.example.net/de/8x"), (5, None), (6, "no scheme"), (7, "ftp://org/es/"), (8, "http://bcom/en/"), (9, "http://com"), (1, "http://www.a.com/en/5?x=1#y"), (11, "http://x.org/en?://q")]
     pages += [(100 + k, f"http://spam.example.org/fr/{k}.html") for k in range(40)] + [(200 + k, f"http://fine.example.org/fr/{k}") for k in range(40)]
