@@ -252,9 +252,39 @@ def test_pseudonyms_beside_other_numbers():
     assert got[10:21] == "T12:30:00Z " and got[:10] == got[21:] != "2024-02-29"
 
 
-@pytest.mark.parametrize("big", [4096, 1])
-def test_suffixes(spark, docs, rows, empty, monkeypatch, big):
+def test_multikey_quicksort():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 3), (1, 3), (700, 2), (5000, 3), (20_000, 40), (3000, 2**63)):
+        x = rng.integers(0, top, (4, n), dtype=np.uint64)
+        order = suffixes.multikey_quicksort(x)
+        assert sorted(order.tolist()) == list(range(n)) and x[:, order].T.tolist() == sorted(x.T.tolist())
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "Spans", lambda data: type("Flat", (), {"hash": lambda self, a, b: np.zeros(len(a), np.uint64)})())
+    data = np.frombuffer(b"abcabdabcx", np.uint8)
+    assert suffixes.equal_windows(data, np.arange(8), 3).tolist() == [True, False, False, False, False, False, True, False]
+
+
+def test_repeats_in_documents_of_several_pieces(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range((4 << 20) + 900_000))
+    cuts = [(4 << 20) - 150, (4 << 20) + 5, 4_900_000, 77]
+    shorts = [f"{k}" * 50 + long[a : a + 300] + "Z" * 30 for k, a in enumerate(cuts)]
+    df = spark.createDataFrame([(0, long), *((k + 1, t) for k, t in enumerate(shorts))], "doc_id long, text string")
+    got = by_id(suffixes.repeat_report(df))
+    gone = np.zeros(len(long), bool)
+    for a in cuts:
+        gone[a : a + 300] = True
+    assert got[0]["n_removed"] == gone.sum() and got[0]["kept_sha256"] == hashlib.sha256(bytes(np.frombuffer(long.encode(), np.uint8)[~gone])).hexdigest()
+    assert all((got[k + 1]["n_removed"], got[k + 1]["n_spans"]) == (300, 1) for k in range(4))
+
+
+@pytest.mark.parametrize("big, bits", [(4096, 22), (1, 9)])
+def test_suffixes(spark, docs, rows, empty, monkeypatch, big, bits):
     monkeypatch.setattr(suffixes, "repeats", lambda d, n, f=suffixes.repeats: f(d, n, big))
+    monkeypatch.setattr(suffixes, "PIECE_BITS", bits)
+    monkeypatch.setattr(suffixes, "SMALL", 8 if bits < 22 else 512)
     more = [*rows, (1000, rows[6][1]), (1001, "q" * 700), (1002, "ab" * 100), (1003, "é" * 100)]
     df = spark.createDataFrame(more, "doc_id long, text string").repartition(4)
     got, seen = by_id(suffixes.repeat_report(df)), Counter()
