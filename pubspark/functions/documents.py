@@ -116,8 +116,8 @@ def output_types(d: Column) -> Column:
 
 
 def content_marking(d: Column) -> Column:
-    """What follows svep/ in the first genre of that kind: ref, vet or pop."""
-    return F.get(F.transform(F.filter(genres(d), lambda g: g.rlike("/svep/(ref|vet|pop)$")), lambda g: F.regexp_extract(g, "/svep/(.*)$", 1)), F.lit(0))
+    """The end of the first genre that tells the content: ref, vet or pop."""
+    return F.get(F.transform(F.filter(genres(d), lambda g: g.rlike("/(ref|vet|pop)$")), lambda g: F.regexp_extract(g, "/([a-z]+)$", 1)), F.lit(0))
 
 
 def _notes(d: Column, kind: str) -> Column:

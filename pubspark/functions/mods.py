@@ -29,7 +29,7 @@ RESOURCES = {
     "notated music": "NotatedMusic", "mixed material": "MixedMaterial", "cartographic": "Cartography", "three dimensional object": "Object", "moving image": "MovingImage",
 }
 IDENTIFIERS = {
-    "doi": "DOI", "hdl": "Hdl", "isbn": "ISBN", "ocolc": "WorldCatNumber", "worldcat": "WorldCatNumber", "se-libr": "LibrisNumber", "libris": "LibrisNumber", "patent_number": "PatentNumber", "pmid": "PMID",
+    "doi": "DOI", "hdl": "Hdl", "isbn": "ISBN", "ocolc": "WorldCatNumber", "worldcat": "WorldCatNumber", "patent_number": "PatentNumber", "pmid": "PMID",
     "scopus": "ScopusID", "isi": "ISI", "issue number": "IssueNumber", "issn": "ISSN", "eissn": "ISSN", "orcid": "ORCID", "uri": "URI", "urn": "URN", "urn:nbn": "URN", "source": "Source", "isni": "ISNI",
     "swecris": "SweCRIS", "cordis": "CORDIS", "fundref": "FundRef", "ringgold": "Ringgold", "grid": "GRID", "ror": "ROR", "ROR": "ROR", "raid": "RAiD", "RAiD": "RAiD", "RAID": "RAiD",
 }
@@ -94,7 +94,7 @@ def _roles(n: Column, values: list[str]) -> Column:
     return F.exists(_flat(n["role"], "roleTerm"), lambda r: _true((r["_type"] == "code") & (r["_authority"] == "marcrelator") & F.trim(r["_VALUE"]).isin(values)))
 
 
-def violations(m: Column, authority: str = "kb.se", old: str = "svep") -> Column:
+def violations(m: Column, authority: str, old: str) -> Column:
     """Codes of the rules that a record breaks, in order; ``authority`` and ``old`` name the two genre vocabularies."""
     out = lambda v: _genre(m, authority, "outputType", v)
     pub = lambda v: _genre(m, old, "publicationType", v)
@@ -153,8 +153,12 @@ def _struct(**fields: Column) -> Column:
     return F.struct(*(v.alias(k.replace("at_", "@")) for k, v in fields.items()))
 
 
-def convert(oai_id: Column, m: Column, base: str, roles: str = "http://id.loc.gov/vocabulary/relators/", authority: str = "kb.se", old: str = "svep") -> Column:
-    """The document's JSON text; what is missing is left out."""
+def convert(oai_id: Column, m: Column, base: str, authority: str, old: str, roles: str = "http://id.loc.gov/vocabulary/relators/", identifiers: dict[str, str] | None = None) -> Column:
+    """The document's JSON text; what is missing is left out.
+
+    ``authority`` and ``old`` name the two genre vocabularies, ``base`` begins
+    terms' addresses; ``identifiers`` maps a catalogue's own kinds of identifier.
+    """
     outputs = F.transform(F.filter(_all(m["genre"]), lambda g: _true((g["_authority"] == authority) & (g["_type"] == "outputType"))), lambda g: F.trim(g["_VALUE"]))
     marks = F.transform(F.filter(_all(m["genre"]), lambda g: _true((g["_authority"] == old) & (g["_type"] == "contentType"))), lambda g: F.trim(g["_VALUE"]))
     older = F.transform(F.filter(_all(m["genre"]), lambda g: _true((g["_authority"] == old) & (g["_type"] == "publicationType"))), lambda g: F.trim(g["_VALUE"]))

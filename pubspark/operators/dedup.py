@@ -61,6 +61,11 @@ def same_pairs(rows: DataFrame, pairs: DataFrame, id_columns: list[str], doi: st
     return reduce(DataFrame.unionByName, (p.select("a", "b") for p in (by_id, bare, told)))
 
 
+def master(rows: DataFrame) -> DataFrame:
+    """The fullest record of each group, from rows (cluster_id, id, size); of equals the least id."""
+    return rows.groupBy("cluster_id").agg(F.max_by("id", F.struct("size", (-F.col("id")).alias("__o"))).alias("master"))
+
+
 #: Kinds of identifier of which a group's record keeps all values.
 MANY = ["ISSN", "ISBN", "URI"]
 

@@ -4,18 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only in local mode, where none is named."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="pubspark-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return top.rstrip("/")
 
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Of rows with one key the first stays."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    """Of rows with one key the first stays; the least is found on the map side, so that a frequent key needs no sort."""
+    return _one(df, key, F.min_by, order)
 
 
 def latest_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return first_wins(df, key, [F.desc(c) for c in order])
+    return _one(df, key, F.max_by, order)
+
+
+def _one(df: DataFrame, key: str, by, order: list[str]) -> DataFrame:
+    whole = F.struct(*(F.col(c) for c in df.columns))
+    return df.groupBy(F.col(key).alias("__key")).agg(by(whole, F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -56,12 +71,29 @@ def candidate_pairs(keys: DataFrame, most: int = 150) -> DataFrame:
     return near.select("key", F.col("id").alias("a")).join(near.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
 
+def near_names(rows: DataFrame, within: list[str], most: int = 2) -> DataFrame:
+    """Pairs (a < b, d) of rows (id, name, ..) of one group whose short names differ by ``most`` (1 or 2) letters at most.
+
+    Two such names have a form in common once so many letters are left out of
+    each; pairs meet by those forms, not all of a group's rows.
+    """
+    def shorter(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+
+    forms = F.array("name")
+    for _ in range(most):
+        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, shorter))))
+    keyed = rows.select("id", "name", *within, F.explode(F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x)))).alias("form"))
+    a, b = (keyed.select(F.col("id").alias(x), F.col("name").alias(f"n{x}"), *within, "form") for x in "ab")
+    pairs = a.join(b, [*within, "form"]).where("a < b").select("a", "b", "na", "nb").distinct()
+    return pairs.withColumn("d", F.levenshtein("na", "nb")).where(F.col("d") <= most).select("a", "b", "d")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node and its component's least node, by least labels with pointer jumping; each round is checkpointed."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        top = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(top or tempfile.mkdtemp())  # a local folder only where none is named
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
     for _ in range(rounds):

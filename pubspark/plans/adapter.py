@@ -41,7 +41,7 @@ VIEWS: dict[str, str] = {
     "search_genre": "SELECT c.id AS finalized_id, concat('publication/', lower(p.p_type)) AS value FROM live c JOIN part p ON p.p_partkey = 1 + c.id % 200",
     "search_creator": """SELECT c.id AS finalized_id, concat('0000-', lpad(cast(u.c_custkey AS string), 4, '0')) AS orcid, u.c_name AS family_name, n.n_name AS local_id_by, cast(u.c_custkey AS string) AS local_id
         FROM live c JOIN customer u ON u.c_custkey = 1 + c.id % 150 JOIN nation n ON n.n_nationkey = u.c_nationkey""",
-    "titles": "SELECT doc_id AS id, source, substr(text, 1, 80) AS title, substr(text, 81, 500) AS summary FROM documents WHERE doc_id % 29 <> 0",
+    "titles": "SELECT doc_id AS id, source, split_part(coalesce(text, ''), '\n', 1) AS title, substr(coalesce(text, ''), cast(length(split_part(coalesce(text, ''), '\n', 1)) + 2 AS int)) AS summary FROM documents",
     "runs": """SELECT event_id AS run_id, concat('src', cast(user_id % 20 AS string)) AS source, ts AS started, event_type, value,
         CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END AS succeeded, event_id % 500 AS record FROM events""",
     "issns": """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN concat('ISSN: ', v) WHEN 1 THEN replace(v, '-', '') WHEN 2 THEN concat(substr(v, 1, 8), '!') WHEN 3 THEN lower(v) WHEN 4 THEN concat(v, 'f') ELSE v END AS value FROM (
@@ -57,7 +57,7 @@ VIEWS: dict[str, str] = {
     "publications": """
         SELECT id, source, yr, concat('{"@id":"', oai_id, '","@type":"Instance","instanceOf":{"@type":"Text","hasTitle":[',
             CASE id % 3 WHEN 0 THEN concat('{"@type":"VariantTitle","mainTitle":"V"},{"@type":"Title","mainTitle":"Main ', cast(id AS string), '","subtitle":"Sub"}') ELSE concat('{"@type":"Title","mainTitle":"Main ', cast(id AS string), ': rest"}') END,
-            '],"genreForm":[', CASE id % 4 WHEN 0 THEN '{"@id":"v:/swedishlist/non-peer-reviewed"},{"@id":"v:/output/publication/journal-article"},{"@id":"v:/svep/ref"}' WHEN 1 THEN '{"@id":"v:/output/publication/edited-book"},{"@id":"v:/svep/vet"}' WHEN 2 THEN '{"@id":"v:/swedishlist/peer-reviewed"},{"@id":"v:/output/publication/report"}' ELSE '{"@id":"v:/JournalArticle"}' END,
+            '],"genreForm":[', CASE id % 4 WHEN 0 THEN '{"@id":"v:/swedishlist/non-peer-reviewed"},{"@id":"v:/output/publication/journal-article"},{"@id":"v:/types/ref"}' WHEN 1 THEN '{"@id":"v:/output/publication/edited-book"},{"@id":"v:/types/vet"}' WHEN 2 THEN '{"@id":"v:/swedishlist/peer-reviewed"},{"@id":"v:/output/publication/report"}' ELSE '{"@id":"v:/JournalArticle"}' END,
             '],"hasNote":[', CASE id % 5 WHEN 0 THEN '{"@type":"PublicationStatus","@id":"v:/Published"}' WHEN 1 THEN '{"@type":"PublicationStatus","@id":"v:/Submitted"},{"@type":"PublicationStatus","@id":"v:/Retracted"}' ELSE concat('{"@type":"CreatorCount","label":"', cast(id % 5 - 1 AS string), '"}') END,
             '],"contribution":[{"@type":"Contribution","agent":{"@type":"Person","givenName":"Ann","familyName":"Lee","identifiedBy":[{"@type":"Local","value":"l', cast(id % 50 AS string), '","source":{"@type":"Source","code":"', source, '"}}]},"role":[{"@id":"r:/', CASE id % 4 WHEN 1 THEN 'edt' ELSE 'aut' END, '"}]}',
             CASE WHEN id % 6 < 3 THEN concat(',{"@type":"Contribution","agent":{"@type":"Person","givenName":"', CASE WHEN id % 6 = 0 THEN 'ANN' ELSE 'Bo' END, '","familyName":"Lee","identifiedBy":[{"@type":"Local","value":"l', cast(id % 50 AS string), '","source":{"@type":"Source","code":"', source, '"}}]},"role":[{"@id":"r:/', CASE id % 4 WHEN 1 THEN 'edt' ELSE 'aut' END, '"}]}') ELSE '' END,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents, identifiers, mods, similarity, text
-from ..operators import dedup, export, relational, search, stats
+from ..operators import audits, dedup, export, relational, search, stats
 from ..streaming import upserts
 from .adapter import TABLES, expand
 
@@ -298,10 +298,13 @@ def q_known_ids(t: Tables) -> DataFrame:
     return t.issns.join(known, "value", "left").select("id", "value", F.coalesce("k", F.lit(0)).alias("known"))
 
 
-@query("SELECT l_partkey AS part, CASE WHEN max(CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END) = 1 THEN 'peer' ELSE 'nonpeer' END AS level FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_partkey")
+_ISSNS = "SELECT id, yr, concat('i', cast(id % 40 AS string)) AS issn FROM live UNION ALL SELECT id, yr, concat('i', cast(id % 7 AS string)) AS issn FROM live"
+_LEVELS = "SELECT 2010 + cast(o_orderkey % 15 AS int) AS yr, concat('i', cast(o_orderkey % 50 AS string)) AS issn, max(CASE o_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END) AS level FROM orders WHERE o_orderkey % 50 <> 5 GROUP BY 1, 2"
+
+
+@query(f"SELECT i.id, max(l.level) AS level FROM ({_ISSNS}) i LEFT JOIN ({_LEVELS}) l ON l.yr = i.yr AND l.issn = i.issn GROUP BY i.id")
 def q_swedish_list(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_linenumber <= 2").select(F.col("l_partkey").alias("part"), (F.col("l_suppkey") % 3 == 0).cast("int").alias("lvl"))
-    return rows.groupBy("part").agg(F.when(F.max("lvl") == 1, "peer").otherwise("nonpeer").alias("level"))
+    return audits.journal_level(t.sql(_ISSNS), t.sql(_LEVELS))
 
 
 @query("""WITH RECURSIVE up AS (SELECT code, code AS ancestor, broader FROM concepts UNION ALL SELECT u.code, c.code AS ancestor, c.broader FROM up u JOIN concepts c ON c.code = u.broader) SELECT code, ancestor FROM up""")
@@ -344,16 +347,17 @@ def q_components(t: Tables) -> DataFrame:
 
 @query("SELECT a.c_custkey AS a, b.c_custkey AS b, cast(levenshtein(a.c_name, b.c_name) AS int) AS d FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE levenshtein(a.c_name, b.c_name) <= 2")
 def q_levenshtein_pairs(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    a, b = (c.select(F.col("c_custkey").alias(x), F.col("c_name").alias(f"n{x}"), "c_nationkey", "c_mktsegment") for x in "ab")
-    d = F.levenshtein("na", "nb")
-    return a.join(b, ["c_nationkey", "c_mktsegment"]).where("a < b").withColumn("d", d).where("d <= 2").select("a", "b", "d")
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_nationkey", "c_mktsegment")
+    return relational.near_names(rows, ["c_nationkey", "c_mktsegment"])
+
+
+_SIZE = """(4 + CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END + CASE id % 4 WHEN 0 THEN 3 WHEN 3 THEN 1 ELSE 2 END + CASE WHEN id % 5 = 1 THEN 2 ELSE 1 END + 2 + CASE WHEN id % 6 < 3 THEN 1 ELSE 0 END + CASE WHEN id % 4 = 1 THEN 2 ELSE 1 END)"""
 
 
-@query("SELECT cluster_id, id AS master FROM (SELECT id % 100 AS cluster_id, id, row_number() OVER (PARTITION BY id % 100 ORDER BY length(summary) + length(title) DESC, id) AS rn FROM titles) x WHERE rn = 1")
+@query(f"SELECT cluster_id, id AS master FROM (SELECT id % 100 AS cluster_id, id, row_number() OVER (PARTITION BY id % 100 ORDER BY {_SIZE} DESC, id) AS rn FROM live) x WHERE rn = 1")
 def q_master_pick(t: Tables) -> DataFrame:
-    rows = t.titles.select((F.col("id") % 100).alias("cluster_id"), "id", (F.length("summary") + F.length("title")).alias("size"))
-    return rows.groupBy("cluster_id").agg(F.max_by("id", F.struct("size", (-F.col("id")).alias("o"))).alias("master"))
+    rows = _docs(t).select((F.col("id") % 100).alias("cluster_id"), "id", documents.elements_size(F.col("d")).alias("size"))
+    return dedup.master(rows)
 
 
 @query("SELECT o_orderkey % 10 AS part, CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -570,8 +574,8 @@ def q_export_fields(t: Tables) -> DataFrame:
     return export.flat(export.project(_docs(t), ["recordId", "title", "subtitle", "publicationYear", "ISBN", "creators"], F.lit("2020-06-30").cast("date")))
 
 
-_MODS = """SELECT id, concat('<mods><recordInfo><recordContentSource>', CASE WHEN id % 11 = 0 THEN '-.' ELSE source END, '</recordContentSource></recordInfo><genre authority="svep" type="publicationType">', CASE id % 3 WHEN 0 THEN 'art' WHEN 1 THEN 'bok' ELSE 'none' END, '</genre>',
-  CASE WHEN id % 2 = 0 THEN '<genre authority="svep" type="contentType">ref</genre>' ELSE '' END, '<titleInfo><title>Main ', cast(id AS string), '</title></titleInfo><name type="personal"><namePart>A</namePart><role><roleTerm type="code" authority="marcrelator">', CASE WHEN id % 7 = 0 THEN 'ill' ELSE 'aut' END, '</roleTerm></role></name>',
+_MODS = """SELECT id, concat('<mods><recordInfo><recordContentSource>', CASE WHEN id % 11 = 0 THEN '-.' ELSE source END, '</recordContentSource></recordInfo><genre authority="types" type="publicationType">', CASE id % 3 WHEN 0 THEN 'art' WHEN 1 THEN 'bok' ELSE 'none' END, '</genre>',
+  CASE WHEN id % 2 = 0 THEN '<genre authority="types" type="contentType">ref</genre>' ELSE '' END, '<titleInfo><title>Main ', cast(id AS string), '</title></titleInfo><name type="personal"><namePart>A</namePart><role><roleTerm type="code" authority="marcrelator">', CASE WHEN id % 7 = 0 THEN 'ill' ELSE 'aut' END, '</roleTerm></role></name>',
   CASE WHEN id % 5 = 0 THEN '' ELSE concat('<originInfo><dateIssued>', cast(yr AS string), '</dateIssued></originInfo>') END, CASE WHEN id % 10 = 0 THEN '<note type="publicationStatus">Submitted</note>' ELSE '' END, '<identifier type="uri">u:', cast(id AS string), '</identifier>',
   '<language><languageTerm type="code" authority="iso639-2b">eng</languageTerm></language>', CASE WHEN id % 4 = 0 THEN '<relatedItem type="host"><titleInfo><title>Journal</title></titleInfo></relatedItem>' ELSE '' END, '</mods>') AS xml FROM live"""
 
@@ -580,7 +584,7 @@ _MODS = """SELECT id, concat('<mods><recordInfo><recordContentSource>', CASE WHE
   CASE WHEN id % 2 <> 0 THEN 'contentTypeViolation,' ELSE '' END, CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN 'publicationDateViolation,' ELSE '' END, CASE WHEN id % 3 = 0 AND id % 4 <> 0 AND id % 10 <> 0 THEN 'relatedItemTypeMissing,' ELSE '' END,
   CASE WHEN id % 3 = 1 AND id % 4 = 0 THEN 'relatedItemTypeViolation,' ELSE '' END) AS codes FROM live""")
 def q_min_level(t: Tables) -> DataFrame:
-    found = F.array_join(mods.violations(mods.parse(F.col("xml"))), ",")
+    found = F.array_join(mods.violations(mods.parse(F.col("xml")), "own.se", "types"), ",")
     return t.sql(_MODS).select("id", F.when(found == "", "").otherwise(F.concat(found, F.lit(","))).alias("codes"))
 
 
@@ -588,5 +592,5 @@ def q_min_level(t: Tables) -> DataFrame:
   CASE WHEN id % 10 = 0 THEN 'submitted' ELSE 'published' END AS status, CASE WHEN id % 4 = 0 THEN 'Journal' END AS channel, concat('u:', cast(id AS string)) AS uri FROM live""")
 def q_convert(t: Tables) -> DataFrame:
     d = F.col("d")
-    rows = t.sql(_MODS).select("id", documents.parse(mods.convert(F.col("id").cast("string"), mods.parse(F.col("xml")), "v:/")).alias("d"))
+    rows = t.sql(_MODS).select("id", documents.parse(mods.convert(F.col("id").cast("string"), mods.parse(F.col("xml")), "v:/", "own.se", "types")).alias("d"))
     return rows.select("id", documents.title(d).alias("title"), documents.publication_year(d).alias("yr"), F.array_join(documents.output_types(d), ",").alias("outputs"), documents.search_status(d).alias("status"), documents.publication_channel(d).alias("channel"), documents.archive_uri(d).alias("uri"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import shared_folder
+
 
 def stream_latest(spark: SparkSession, path: str) -> DataFrame:
     """record and its greatest run_id, read as a stream of files to its present end.
@@ -15,8 +16,7 @@ def stream_latest(spark: SparkSession, path: str) -> DataFrame:
     State is Spark's own, in the checkpoint folder; the sink gets each batch's
     changed records, of which the last batch's stand.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pubspark-")
-    place = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder if name.endswith(".parquet") else path)

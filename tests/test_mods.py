@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from pubspark.functions import documents, mods
 
-FULL = """<mods xmlns="http://www.loc.gov/mods/v3"><recordInfo><recordContentSource>org</recordContentSource></recordInfo><genre authority="svep" type="publicationType">art</genre>
-<genre authority="svep" type="contentType">ref</genre><language><languageTerm type="code" authority="iso639-2b">eng</languageTerm></language><titleInfo><title>Main &amp; more</title><subTitle>Sub</subTitle></titleInfo>
+FULL = """<mods xmlns="http://www.loc.gov/mods/v3"><recordInfo><recordContentSource>org</recordContentSource></recordInfo><genre authority="types" type="publicationType">art</genre>
+<genre authority="types" type="contentType">ref</genre><language><languageTerm type="code" authority="iso639-2b">eng</languageTerm></language><titleInfo><title>Main &amp; more</title><subTitle>Sub</subTitle></titleInfo>
 <abstract lang="en">A summary</abstract><name type="personal"><namePart type="family">Lee</namePart><namePart type="given">Ann</namePart><role><roleTerm type="code" authority="marcrelator">aut</roleTerm></role>
 <nameIdentifier type="orcid">0000</nameIdentifier><affiliation>Dept</affiliation></name><note type="creatorCount">1</note><identifier type="uri">http://a/1</identifier><identifier type="isbn" invalid="yes">12</identifier>
 <identifier type="eissn" displayLabel="e">1234-5678</identifier><identifier type="own">x</identifier><subject lang="swe" authority="uka.se" href="10201"><topic>Computing</topic></subject><subject lang="eng"><topic>lamps</topic></subject>
@@ -15,7 +15,7 @@ FULL = """<mods xmlns="http://www.loc.gov/mods/v3"><recordInfo><recordContentSou
 @pytest.fixture(scope="module")
 def doc(spark):
     df = spark.createDataFrame([("oai:1", FULL)], "i string, x string").select("i", mods.parse(F.col("x")).alias("m"))
-    return df.select(documents.parse(mods.convert(F.col("i"), F.col("m"), "v:/")).alias("d"), mods.violations(F.col("m")).alias("bad")).cache()
+    return df.select(documents.parse(mods.convert(F.col("i"), F.col("m"), "v:/", "own.se", "types")).alias("d"), mods.violations(F.col("m"), "own.se", "types").alias("bad")).cache()
 
 
 def test_converts(doc):
@@ -41,9 +41,9 @@ def test_converts(doc):
 )
 def test_rules(spark, old, new, bad):
     df = spark.createDataFrame([(FULL.replace(old, new),)], "x string")
-    assert df.select(mods.violations(mods.parse(F.col("x")))).first()[0] == bad
+    assert df.select(mods.violations(mods.parse(F.col("x")), "own.se", "types")).first()[0] == bad
 
 
 def test_missing(spark):
     df = spark.createDataFrame([(None,)], "x string")
-    assert df.select(mods.violations(mods.parse(F.col("x")))).first()[0] == ["modsDataMissing"]
+    assert df.select(mods.violations(mods.parse(F.col("x")), "own.se", "types")).first()[0] == ["modsDataMissing"]
