@@ -138,11 +138,11 @@ def _titles(c: Column) -> Column:
     return F.transform(_all(c), lambda x: F.struct(kind(x).alias("@type"), first(x, "title").alias("mainTitle"), first(x, "subTitle").alias("subtitle")))
 
 
-def _ids(c: Column, invalid: bool = False) -> Column:
+def _ids(c: Column, invalid: bool = False, more: dict[str, str] | None = None) -> Column:
     kept = F.filter(_all(c), lambda i: (_true(i["_invalid"] == "yes") if invalid else ~_true(i["_invalid"] == "yes")) & _true(F.trim(i["_VALUE"]) != ""))
 
     def one(i: Column) -> Column:
-        kind = _pick(i["_type"], IDENTIFIERS, "Local")
+        kind = _pick(i["_type"], IDENTIFIERS | (more or {}), "Local")
         source = F.when(kind == "Local", F.struct(F.lit("Source").alias("@type"), i["_type"].alias("code")))
         return F.struct(kind.alias("@type"), F.trim(i["_VALUE"]).alias("value"), i["_displayLabel"].alias("qualifier"), source.alias("source"))
 
@@ -214,7 +214,7 @@ def convert(oai_id: Column, m: Column, base: str, authority: str, old: str, role
     part = F.transform(hosts, lambda r: _struct(genreForm=F.transform(_all(r["genre"]), lambda g: F.struct(F.trim(g["_VALUE"]).alias("@id"))), hasTitle=_titles(r["titleInfo"]), identifiedBy=_ids(r["identifier"]), hasSeries=F.when(F.size(series) > 0, series)))
     one = lambda k: F.trim(F.get(_flat(m["recordInfo"], k), F.lit(0))["_VALUE"])
     doc = _struct(
-        at_id=oai_id, at_type=F.lit("Instance"), instanceOf=work, identifiedBy=_ids(m["identifier"]), incorrectlyIdentifiedBy=_ids(m["identifier"], True), isPartOf=part,
+        at_id=oai_id, at_type=F.lit("Instance"), instanceOf=work, identifiedBy=_ids(m["identifier"], more=identifiers), incorrectlyIdentifiedBy=_ids(m["identifier"], True, identifiers), isPartOf=part,
         hasSeries=F.when((F.size(hosts) == 0) & (F.size(series) > 0), series), publication=publication, usageAndAccessPolicy=F.transform(_all(m["accessCondition"]), access),
         electronicLocator=F.transform(_flat(m["location"], "url"), link), meta=_struct(assigner=F.struct(one("recordContentSource").alias("label")), creationDate=one("recordCreationDate"), changeDate=one("recordChangeDate")),
     )

@@ -76,6 +76,11 @@ def search_ids(single: DataFrame, q: SearchQuery, creator: DataFrame, org: DataF
     return df
 
 
+def with_doi(found: DataFrame, doi: DataFrame, value: str) -> DataFrame:
+    """Those of the found records that have a DOI."""
+    return found.join(doi.where(F.col("value") == value), "finalized_id", "left_semi")
+
+
 def matching_orgs(found: DataFrame, org: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Organisations of the found records, by name; where some were asked for, only those."""
     rows = org.where(F.col("value").isin(only)) if only else org

@@ -594,3 +594,6 @@ def q_convert(t: Tables) -> DataFrame:
     d = F.col("d")
     rows = t.sql(_MODS).select("id", documents.parse(mods.convert(F.col("id").cast("string"), mods.parse(F.col("xml")), "v:/", "own.se", "types")).alias("d"))
     return rows.select("id", documents.title(d).alias("title"), documents.publication_year(d).alias("yr"), F.array_join(documents.output_types(d), ",").alias("outputs"), documents.search_status(d).alias("status"), documents.publication_channel(d).alias("channel"), documents.archive_uri(d).alias("uri"))
+
+
+from . import records  # noqa: E402, F401  (registers its queries)
