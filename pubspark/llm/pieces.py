@@ -3,7 +3,7 @@
 ``load`` parses the model's protobuf by its wire format and rebuilds the
 normaliser (dummy prefix, metaspace marker), the unigram scores or the merges
 that a BPE model's scores stand for, and byte fallback. ``PieceCodec`` encodes
-batches in the library's threads, chunk by chunk through a bounded cache: where
+batches in the library's threads (``spark.task.cpus`` of them), chunk by chunk through a bounded cache: where
 no piece has a marker after another character, texts can be cut before each
 run of markers (a marker character in the text counts as a space, as in the
 model). Decoding is the library's decoder, batch by batch, too. ``parity``
@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +119,8 @@ def build(m: Model):
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
+    # fused first, so that one text is searched for markers instead of every piece
+    t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
     return t
 
 
@@ -126,7 +128,11 @@ class PieceCodec:
     _loaded: dict[str, PieceCodec] = {}
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        # as many of the library's threads as the task has cores: more of them only wait for each other
+        task = TaskContext.get()
+        cores = task.cpus() if task else os.cpu_count() or 1
+        os.environ.setdefault("RAYON_NUM_THREADS", str(cores))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if cores > 1 else "false")
         self.path = path
         with open(path, "rb") as f:
             self.model = parse(f.read())
