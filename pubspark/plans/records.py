@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import documents, fields, text
+from ..functions import documents, fields, legacy, text
 from ..operators import audits, marts, search, service, state, training
 from .catalogue import Tables, _docs, query
 
@@ -345,3 +345,16 @@ def q_policies(t: Tables) -> DataFrame:
     d = F.col("d")
     p = documents.policies(d)
     return _docs(t).select("id", documents.publication_status(d, only=True).alias("one"), (F.size(p["access"]) > 0).cast("int").alias("has_access"), (F.size(p["embargo"]) > 0).cast("int").alias("has_embargo"))
+
+
+@query("""SELECT id, oai_id AS control, CASE WHEN id % 4 = 0 THEN 'ComponentPart' WHEN id % 4 < 3 THEN 'Monograph' END AS issuance, CASE WHEN id % 2 = 0 THEN '2024' ELSE cast(yr AS string) END AS year, concat('https://doi.org/10.1/', cast(id AS string)) AS related,
+  CASE WHEN id % 4 = 1 THEN 'Contribution' ELSE 'PrimaryContribution' END AS first_contribution, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS n_hosts, CASE id % 4 WHEN 0 THEN 'art,ref' WHEN 1 THEN 'sam,vet' WHEN 2 THEN 'rap' ELSE '' END AS concepts FROM live""")
+def q_legacy(t: Tables) -> DataFrame:
+    terms = legacy.Terms("Sys", "SYS", "http://lib/", "v:/output/", "v:/types/", "l:/", "r:/", "s:/uka/", ("s:/uka",), "http://urn/resolve?urn=", "own")
+    x = F.col("x")
+    rows = t.publications.select("id", legacy.project(legacy.parse(F.col("doc")), terms, F.lit("2024-07-08").cast("date")).alias("x"))
+    concepts = F.array_join(F.transform(x["instanceOf"]["subject"], lambda s: s["label"]), ",")
+    return rows.select(
+        "id", x["meta"]["controlNumber"].alias("control"), x["issuanceType"].alias("issuance"), F.get(x["publication"], F.lit(0))["year"].alias("year"), F.get(F.get(x["relatedTo"], F.lit(0))["uri"], F.lit(0)).alias("related"),
+        F.get(x["instanceOf"]["contribution"], F.lit(0))["@type"].alias("first_contribution"), F.coalesce(F.size(x["isPartOf"]), F.lit(0)).alias("n_hosts"), concepts.alias("concepts"),
+    )
