@@ -17,10 +17,8 @@ marker character in the text itself does not come back (it decodes to a space).
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import Spans, U
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # the protobuf's piece types
 UNIGRAM, BPE = 1, 2  # its model types
-CACHE = 500_000
+CACHE = 3_000_000  # chunks that a worker keeps (some 40 bytes each); beyond it the cache starts anew
+RECENT = 200_000  # so many new ones are kept apart before they are sorted in
 GROUP = 256
 
 
@@ -124,6 +125,29 @@ def build(m: Model):
     return t
 
 
+@dataclass
+class Table:
+    """Chunks by their sorted hashes: where each one's ids begin (n + 1), and all ids."""
+
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Beginning and number of the ids of each hash, and whether it is here."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return self.at[k], self.at[k + 1] - self.at[k], self.hashes[k] == h
+
+    def with_more(self, other: Table) -> Table:
+        both = np.concatenate([self.hashes, other.hashes])
+        order = np.argsort(both, kind="stable")
+        begin = np.concatenate([self.at[:-1], other.at[:-1] + len(self.ids)])[order]
+        size = np.concatenate([np.diff(self.at), np.diff(other.at)])[order]
+        return Table(both[order], np.concatenate([[0], np.cumsum(size)]), _gather(np.concatenate([self.ids, other.ids]), begin, size))
+
+
 class PieceCodec:
     _loaded: dict[str, PieceCodec] = {}
 
@@ -140,14 +164,17 @@ class PieceCodec:
         plain = [p for p, _, t in self.model.pieces if t == NORMAL]
         #: Whether texts may be cut before markers and line breaks: no piece crosses such a place, and nothing else changes the text.
         self.cuts = not (self.model.charsmap or self.model.trim) and self.model.dummy_prefix and all(MARK not in p.lstrip(MARK) and "\n" not in p for p in plain)
-        self.chunks = re.compile("\n+|" + " *[^ \n]+| +")
-        self.cache: dict[str, bytes] = {}
         #: Marks that no piece has right after a letter, so that a chunk can be cut there too.
         self.stops = "".join(x for x in ".,;:!?" if not any(a.isalpha() and b == x for p in plain for a, b in zip(p, p[1:])))
-        from tokenizers import normalizers
+        from tokenizers import normalizers, pre_tokenizers
 
         self.inner = build(self.model)  # encodes chunks, which have their markers already
         self.inner.normalizer = normalizers.Sequence([])
+        self.joined = build(self.model)  # encodes many chunks of one marker each as one text
+        self.joined.normalizer = normalizers.Sequence([])
+        self.joined.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+        self.begins = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
+        self.forget()
         kinds = np.array([t for *_, t in self.model.pieces])
         self.silent, self.unknown = kinds == CONTROL, int(np.flatnonzero(kinds == UNKNOWN)[0])
         self.mark = next((i for i, (p, *_) in enumerate(self.model.pieces) if p == MARK), self.unknown)
@@ -156,19 +183,30 @@ class PieceCodec:
     def of(path: str) -> PieceCodec:
         return PieceCodec._loaded.get(path) or PieceCodec._loaded.setdefault(path, PieceCodec(path))
 
-    def learn(self, chunks: list[str]) -> None:
-        todo, stop = dict.fromkeys(c for c in chunks if not (c[-1] in self.stops and c[-2:-1].isalpha())), []
-        for c in chunks:
-            if c not in todo:
-                stop.append(c)
-                todo |= {x: None for x in (c[:-1], c[-1]) if x not in self.cache and x not in todo}
-        todo = list(todo)
+    def forget(self) -> None:
+        """Empty the cache: a large and a small table of chunks."""
+        self.old, self.recent = Table(), Table()
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        found: dict[str, bytes] = {}
+        stop = [c for c in chunks if c[-1] in self.stops and c[-2:-1].isalpha()]
+        apart = set(stop)
+        todo = list(dict.fromkeys([*(c for c in chunks if c not in apart), *(x for c in stop for x in (c[:-1], c[-1]))]))
+        plain = [c for c in todo if c[0] == " " and c[1:2] not in ("", " ")]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.joined.encode_batch_fast(["".join(some).replace(" ", MARK)], add_special_tokens=False)[0].ids, np.int32)
+            at = np.flatnonzero(self.begins[ids])  # a marker begins a chunk, and each chunk has one
+            if len(at) == len(some) and at[0] == 0:  # else one by one, below
+                raw, cut = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+                found.update(zip(some, (raw[a:b] for a, b in zip(cut, cut[1:])), strict=True))
+        todo = [c for c in todo if c not in found]
         for i in range(0, len(todo), 8192):
             some = todo[i : i + 8192]
-            found = self.inner.encode_batch_fast([c.replace(" ", MARK) for c in some], add_special_tokens=False)
-            self.cache.update((c, array("i", e.ids).tobytes()) for c, e in zip(some, found, strict=True))
-        for c in stop:
-            self.cache[c] = self.cache[c[:-1]] + self.cache[c[-1]]
+            each = self.inner.encode_batch_fast([c.replace(" ", MARK) for c in some], add_special_tokens=False)
+            found.update((c, np.array(e.ids, np.int32).tobytes()) for c, e in zip(some, each, strict=True))
+        return [found[c[:-1]] + found[c[-1]] if c in apart else found[c] for c in chunks]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids as little-endian 32-bit integers."""
@@ -176,18 +214,44 @@ class PieceCodec:
             some = [t or "" for t in texts[i : i + GROUP]]
             if not self.cuts:
                 yield from (np.array(e.ids, np.int32).tobytes() if t else b"" for t, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-                continue
-            split = [self.chunks.findall(" " + t.replace(MARK, " ")) if t else [] for t in some]
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            found = [list(map(self.cache.get, s)) for s in split]
-            holes = [[k for k, x in enumerate(f) if x is None] if None in f else () for f in found]
-            if fresh := {s[k] for s, h in zip(split, holes, strict=True) for k in h}:
-                self.learn(list(fresh))
-            for s, f, h in zip(split, found, holes, strict=True):
-                for k in h:
-                    f[k] = self.cache[s[k]]
-            yield from map(b"".join, found)  # only now: whoever takes them may encode other texts between
+            else:
+                yield from self._by_chunks([(" " + t.replace(MARK, " ")).encode() if t else b"" for t in some])
+
+    def _by_chunks(self, texts: list[bytes]) -> list[bytes]:
+        """Cut before each run of spaces or line breaks (a word goes with the spaces before it) and put the chunks' ids together."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        if not len(data):
+            return [b""] * len(texts)
+        space, line = data == 32, data == 10
+        after = lambda x: np.concatenate([[False], x[:-1]])
+        new = (space & ~after(space)) | (line & ~after(line)) | (~space & ~line & after(line))
+        new[first[:-1][first[:-1] < first[1:]]] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(data))
+        h = Spans(data).hash(start, end)
+        if len(self.old.hashes) > CACHE:
+            self.forget()
+        if len(self.recent.hashes) > RECENT:
+            self.old, self.recent = self.old.with_more(self.recent), Table()
+        begin, sizes, there = self.old.look(h)
+        rest = np.flatnonzero(~there)
+        fresh = rest[~self.recent.look(h[rest])[2]]
+        if len(fresh):
+            hashes, where = np.unique(h[fresh], return_index=True)
+            where, raw = fresh[where], data.tobytes()
+            learnt = self.learn([raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in learnt])]).astype(np.int64)
+            self.recent = self.recent.with_more(Table(hashes, at, np.frombuffer(b"".join(learnt), np.int32)))
+        begin[rest], sizes[rest], _ = self.recent.look(h[rest])
+        to = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), np.int32)
+        for table, some in ((self.old, np.flatnonzero(there)), (self.recent, rest)):
+            ids[_places(to[some], sizes[some])] = table.ids[_places(begin[some], sizes[some])]
+        out = ids.tobytes()
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        cut = (total[np.searchsorted(start, first)] * 4).tolist()
+        return [out[a:b] for a, b in zip(cut, cut[1:])]
 
     def decode(self, raw: list[bytes]) -> list[str]:
         """The texts of lists of ids (little-endian 32-bit integers), by the library's decoder; control pieces say nothing."""
@@ -218,6 +282,16 @@ class PieceCodec:
         return np.array(self.other.encode(text), np.int32).tobytes() == (next(self.encode([text])) if raw is None else raw)
 
 
+def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of values of given beginnings and sizes, one after another."""
+    return values[_places(begin, size)]
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. of each run."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def encode_column(path: str):
     """A column function of the text: its ids."""
 
