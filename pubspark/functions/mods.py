@@ -3,7 +3,8 @@
 ``parse`` reads the XML text, ``violations`` names the rules that it breaks and
 ``convert`` gives the document's JSON text. Terms get the address of a
 vocabulary, which is a parameter. Names within names beyond one level of
-affiliation, series parts and dissertation notes are not converted.
+affiliation, series parts and dissertation notes are not converted. Topics above
+a subject's own are nested as deep as they come, as a variant.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ _IDS = "array<struct<_VALUE:string,_type:string,_invalid:string,_displayLabel:st
 _NAME = f"array<struct<_type:string,_authority:string,namePart:{_T},affiliation:{_T},nameIdentifier:array<struct<_VALUE:string,_type:string,_invalid:string>>,role:array<struct<roleTerm:{_T}>>>>"
 SCHEMA = (
     f"struct<recordInfo:array<struct<recordContentSource:{_T},recordCreationDate:{_T},recordChangeDate:{_T}>>,typeOfResource:{_T},genre:{_T},language:array<struct<languageTerm:{_T}>>,titleInfo:{_TITLE},"
-    f"abstract:{_T},name:{_NAME},note:{_T},identifier:{_IDS},subject:array<struct<_lang:string,_authority:string,_href:string,topic:{_T}>>,originInfo:array<struct<_eventType:string,dateIssued:{_T},publisher:{_T}>>,"
-    f"accessCondition:array<struct<_VALUE:string,_type:string,_displayLabel:string,_valueURI:string>>,location:array<struct<url:array<struct<_VALUE:string,_displayLabel:string,_note:string,_usage:string,_access:string>>>>,"
+    f"abstract:{_T},name:{_NAME},note:{_T},identifier:{_IDS},subject:array<struct<_lang:string,_authority:string,_href:string,_valueURI:string,topic:{_T}>>,physicalDescription:array<struct<form:{_T},extent:{_T}>>,"
+    f"originInfo:array<struct<_eventType:string,dateIssued:{_T},publisher:{_T},agent:array<struct<namePart:{_T},role:array<struct<roleTerm:{_T}>>>>,place:array<struct<placeTerm:{_T}>>,dateOther:array<struct<_VALUE:string,_type:string,_point:string>>,edition:{_T},copyrightDate:{_T}>>,"
+    f"accessCondition:array<struct<_VALUE:string,_type:string,_displayLabel:string,_valueURI:string,_href:string>>,location:array<struct<url:array<struct<_VALUE:string,_displayLabel:string,_note:string,_usage:string,_access:string>>>>,"
     f"relatedItem:array<struct<_type:string,titleInfo:{_TITLE},identifier:{_IDS},genre:{_T}>>>"
 )
 
@@ -61,6 +63,9 @@ WITHOUT_HOST = [
     "publication/book", "publication/edited-book", "publication/report", "publication/doctoral-thesis", "publication/licentiate-thesis", "artistic-work/artistic-thesis", "conference/proceeding",
     "intellectual-property/patent", "other/software",
 ]
+#: What dates other than that of issue say, and the roles of an origin's agent by event.
+DATES = {"available": "Availability", "digitized": "Digitization", "online": "OnlineAvailability", "openAccess": "OpenAccessAvailability"}
+EVENTS = {"publication": "pbl", "manufacture": "mfr", "distribution": "dst", "production": "pro"}
 PROJECTS = ["project", "initiative", "grantAgreement", "programme", "event", "dataset"]
 BLANKS = '?-:;.,()[]!#€./=+$@"'
 
@@ -153,11 +158,72 @@ def _struct(**fields: Column) -> Column:
     return F.struct(*(v.alias(k.replace("at_", "@")) for k, v in fields.items()))
 
 
-def convert(oai_id: Column, m: Column, base: str, authority: str, old: str, roles: str = "http://id.loc.gov/vocabulary/relators/", identifiers: dict[str, str] | None = None) -> Column:
+def _text(c: Column) -> Column:
+    """The first element's text."""
+    return F.trim(F.get(_all(c), F.lit(0))["_VALUE"])
+
+
+def _labelled(kind: str, label: Column) -> Column:
+    return F.when(label.isNotNull(), F.struct(F.lit(kind).alias("@type"), label.alias("label")))
+
+
+def _some(c: Column) -> Column:
+    return F.when(F.size(c) > 0, c)
+
+
+def _origin(o: Column, roles: str) -> dict[str, Column]:
+    """All that an instance says of its origins ``o``: events, dates and edition."""
+    terms = lambda x: _flat(_flat(x["agent"], "role"), "roleTerm")
+    plays = lambda x, code: F.exists(terms(x), lambda t: _true(F.trim(t["_VALUE"]) == code) | _true(t["_valueURI"] == roles + code))
+    agent = lambda x: _text(_flat(x["agent"], "namePart"))
+    place = lambda x: _labelled("Place", _text(_flat(x["place"], "placeTerm")))
+    at = lambda x, kind: _true(x["_eventType"] == kind)
+
+    def event(kind: str) -> Column:
+        rows = F.filter(o, lambda x: at(x, kind) & plays(x, EVENTS[kind]))
+        return F.transform(rows, lambda x: _struct(at_type=F.lit(kind.capitalize()), agent=_labelled("Agent", agent(x)), place=place(x)))
+
+    told = lambda x: x["publisher"].isNotNull() | x["place"].isNotNull() | x["dateIssued"].isNotNull()
+    issued = F.filter(o, lambda x: (x["_eventType"].isNull() & told(x)) | (at(x, "publication") & (told(x) | plays(x, "pbl"))))
+    publication = lambda x: _struct(at_type=F.lit("Publication"), agent=_labelled("Agent", F.coalesce(agent(x), _text(x["publisher"]))), place=place(x), date=_text(x["dateIssued"]))
+    known = [*EVENTS.values(), *(roles + c for c in EVENTS.values())]
+    others = F.filter(o, lambda x: (F.size(terms(x)) > 0) & ~F.exists(terms(x), lambda t: _true(F.trim(t["_VALUE"]).isin(known))))
+
+    def contribution(x: Column) -> Column:
+        address = F.get(F.filter(F.transform(terms(x), lambda t: t["_valueURI"]), lambda u: u.isNotNull()), F.lit(0))
+        role = F.array(F.struct(F.coalesce(address, F.concat(F.lit(roles), _text(terms(x)))).alias("@id")))
+        return _struct(at_type=F.lit("Contribution"), agent=F.when(agent(x).isNotNull(), _struct(at_type=F.lit("Agent"), label=agent(x), role=role)), place=place(x))
+
+    dates = _flat(o, "dateOther")
+    defence = F.element_at(_some(F.filter(dates, lambda d: _true(d["_type"] == "defence"))), -1)
+    starts = lambda d: _true(d["_point"] == "start")
+    activity = lambda d: _struct(at_type=_pick(d["_type"], DATES), startDate=F.when(starts(d), F.trim(d["_VALUE"])), date=F.when(~starts(d), F.trim(d["_VALUE"])))
+    copyright_ = _text(_flat(o, "copyrightDate"))
+    return {
+        "publication": F.transform(issued, publication), **{k: _some(event(k)) for k in EVENTS if k != "publication"}, "contribution": _some(F.transform(others, contribution)),
+        "dissertation": F.when(defence.isNotNull(), F.array(_struct(at_type=F.lit("Dissertation"), date=F.trim(defence["_VALUE"])))),
+        "provisionActivity": _some(F.transform(F.filter(dates, lambda d: _true(d["_type"] != "defence")), activity)), "editionStatement": _text(_flat(o, "edition")),
+        "copyright": F.when(copyright_.isNotNull(), F.array(_struct(at_type=F.lit("Copyright"), date=copyright_))),
+    }
+
+
+def _broader(topics: Column) -> Column:
+    """The topics above the last one, each within the one below it."""
+
+    def within(inner: Column, t: Column) -> Column:
+        own = F.to_json(F.struct(F.coalesce(F.trim(t["_VALUE"]), F.lit("")).alias("prefLabel")))
+        return F.when(inner.isNull(), own).otherwise(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"broader":'), inner, F.lit("}")))
+
+    return F.parse_json(F.aggregate(F.slice(topics, F.lit(1), F.greatest(F.size(topics) - 1, F.lit(0))), F.lit(None).cast("string"), within))
+
+
+def convert(oai_id: Column, m: Column, base: str, authority: str, old: str, roles: str = "http://id.loc.gov/vocabulary/relators/", identifiers: dict[str, str] | None = None, policy: str = "", tags: dict[str, str] | None = None) -> Column:
     """The document's JSON text; what is missing is left out.
 
     ``authority`` and ``old`` name the two genre vocabularies, ``base`` begins
-    terms' addresses; ``identifiers`` maps a catalogue's own kinds of identifier.
+    terms' addresses and ``policy`` (or ``base`` and policy/) those of access
+    policies; ``identifiers`` maps a catalogue's own kinds of identifier and
+    ``tags`` the languages' codes to their tags.
     """
     outputs = F.transform(F.filter(_all(m["genre"]), lambda g: _true((g["_authority"] == authority) & (g["_type"] == "outputType"))), lambda g: F.trim(g["_VALUE"]))
     marks = F.transform(F.filter(_all(m["genre"]), lambda g: _true((g["_authority"] == old) & (g["_type"] == "contentType"))), lambda g: F.trim(g["_VALUE"]))
@@ -189,33 +255,51 @@ def convert(oai_id: Column, m: Column, base: str, authority: str, old: str, role
     code = lambda s: F.regexp_extract(F.coalesce(s["_href"], F.lit("")), "([0-9]+)$", 1)
     classed = F.filter(topics, lambda s: _true(s["_authority"].isNotNull()) & (code(s) != ""))
     free = F.filter(topics, lambda s: ~(_true(s["_authority"].isNotNull()) & (code(s) != "")))
-    label = lambda s: F.trim(F.get(s["topic"], F.lit(0))["_VALUE"])
+    label = lambda s: F.trim(F.element_at(_some(s["topic"]), -1)["_VALUE"])
+    tag = lambda c: F.coalesce(_pick(c, tags), c) if tags else c
+
+    def topic(s: Column) -> Column:
+        scheme = F.when(s["_authority"].isNotNull(), _struct(at_type=F.lit("ConceptScheme"), code=s["_authority"]))
+        return _struct(at_id=s["_valueURI"], at_type=F.lit("Topic"), code=s["_href"], prefLabel=label(s), language=F.struct(tag(s["_lang"]).alias("code")), inScheme=scheme, broader=_broader(s["topic"]))
+
     work = _struct(
         at_type=_pick(F.lower(F.trim(F.get(_all(m["typeOfResource"]), F.lit(0))["_VALUE"])), RESOURCES, "Text"), genreForm=F.transform(genres, lambda g: F.struct(g.alias("@id"))),
         language=F.transform(_flat(m["language"], "languageTerm"), lambda t: F.struct(F.lit("Language").alias("@type"), F.trim(t["_VALUE"]).alias("code"))), hasTitle=_titles(m["titleInfo"]),
-        summary=F.transform(_all(m["abstract"]), lambda a: F.struct(F.lit("Summary").alias("@type"), F.trim(a["_VALUE"]).alias("label"))), contribution=F.transform(_all(m["name"]), who),
-        subject=F.transform(free, lambda s: F.struct(F.lit("Topic").alias("@type"), label(s).alias("prefLabel"), F.struct(s["_lang"].alias("code")).alias("language"))),
+        summary=F.transform(_all(m["abstract"]), lambda a: _struct(at_type=F.lit("Summary"), label=F.trim(a["_VALUE"]), language=F.when(a["_lang"].isNotNull(), _struct(at_type=F.lit("Language"), code=a["_lang"])))), contribution=F.transform(_all(m["name"]), who),
+        subject=F.transform(free, topic),
         classification=F.transform(classed, lambda s: F.struct(F.lit("Classification").alias("@type"), s["_href"].alias("@id"), code(s).alias("code"), label(s).alias("prefLabel"))), hasNote=every,
     )
-    issued = F.filter(_all(m["originInfo"]), lambda o: F.coalesce(o["_eventType"], F.lit("publication")) == "publication")
-    publication = F.transform(issued, lambda o: _struct(at_type=F.lit("Publication"), agent=F.struct(F.trim(F.get(_all(o["publisher"]), F.lit(0))["_VALUE"]).alias("label")), date=F.trim(F.get(_all(o["dateIssued"]), F.lit(0))["_VALUE"])))
-
     def access(a: Column) -> Column:
-        embargo = F.lower(F.coalesce(a["_displayLabel"], F.lit(""))) == "embargo"
-        return _struct(at_type=F.when(embargo, "Embargo").otherwise("AccessPolicy"), at_id=a["_valueURI"], label=F.when(~embargo, F.trim(a["_VALUE"])), endDate=F.when(embargo, F.trim(a["_VALUE"])))
+        text = F.trim(a["_VALUE"])
+        licence = _true((a["_type"] == "use and reproduction") & (a["_href"] != ""))
+        embargo = ~licence & _true((a["_type"] == "restriction on access") & (a["_displayLabel"] == "embargo"))
+        address = F.when(licence, a["_href"]).when(~embargo, F.coalesce(a["_valueURI"], F.when(text.isin("gratis", "restricted"), F.concat(F.lit((policy or f"{base}policy/") + "oa/"), text))))
+        kind = F.when(embargo, "Embargo").when(address.isNull(), "AccessPolicy")
+        return _struct(at_type=kind, at_id=address, label=F.when(kind == "AccessPolicy", text), endDate=F.when(embargo & (text != ""), text))
 
     def link(u: Column) -> Column:
         said = F.array_compact(F.array(*(F.when(u[k].isNotNull(), note("Note", none, u[k])) for k in ("_usage", "_access", "_note"))))
         return _struct(at_type=F.lit("Resource"), uri=F.trim(u["_VALUE"]), label=u["_displayLabel"], hasNote=said)
 
-    hosts = F.filter(_all(m["relatedItem"]), lambda r: _true(r["_type"] == "host"))
-    rows = F.filter(_all(m["relatedItem"]), lambda r: _true(r["_type"] == "series"))
-    series = F.transform(rows, lambda r: _struct(hasTitle=_titles(r["titleInfo"]), identifiedBy=_ids(r["identifier"])))
-    part = F.transform(hosts, lambda r: _struct(genreForm=F.transform(_all(r["genre"]), lambda g: F.struct(F.trim(g["_VALUE"]).alias("@id"))), hasTitle=_titles(r["titleInfo"]), identifiedBy=_ids(r["identifier"]), hasSeries=F.when(F.size(series) > 0, series)))
+    def related(r: Column, kind: str, **more: Column) -> Column:
+        said = F.transform(_all(r["genre"]), lambda g: F.trim(g["_VALUE"]))
+        genre = F.transform(F.filter(_all(r["genre"]), lambda g: _true(g["_valueURI"].isNotNull() | (F.trim(g["_VALUE"]) != "dataset"))), lambda g: F.struct(F.coalesce(g["_valueURI"], F.trim(g["_VALUE"])).alias("@id")))
+        return _struct(at_type=F.when(F.array_contains(said, "dataset"), "Dataset").otherwise(kind), genreForm=_some(genre), hasTitle=_titles(r["titleInfo"]), identifiedBy=_ids(r["identifier"]), **more)
+
+    of = lambda kind: F.filter(_all(m["relatedItem"]), lambda r: _true(r["_type"] == kind))
+    hosts = of("host")
+    series = F.transform(of("series"), lambda r: related(r, "Work"))
+    part = F.transform(hosts, lambda r: related(r, "Work", hasSeries=_some(series)))
+    form = _flat(m["physicalDescription"], "form")
+    marc = F.exists(form, lambda f: _true(f["_authority"] == "marcform"))
+    carrier = F.when(F.size(form) > 0, _struct(at_type=F.lit("CarrierType"), label=_text(form), source=F.when(marc, _struct(at_type=F.lit("Source"), code=F.lit("marcform")))))
+    giver = F.get(_flat(m["recordInfo"], "recordContentSource"), F.lit(0))["_authority"]
+    origin = _origin(_all(m["originInfo"]), roles)
     one = lambda k: F.trim(F.get(_flat(m["recordInfo"], k), F.lit(0))["_VALUE"])
     doc = _struct(
         at_id=oai_id, at_type=F.lit("Instance"), instanceOf=work, identifiedBy=_ids(m["identifier"], more=identifiers), incorrectlyIdentifiedBy=_ids(m["identifier"], True, identifiers), isPartOf=part,
-        hasSeries=F.when((F.size(hosts) == 0) & (F.size(series) > 0), series), publication=publication, usageAndAccessPolicy=F.transform(_all(m["accessCondition"]), access),
-        electronicLocator=F.transform(_flat(m["location"], "url"), link), meta=_struct(assigner=F.struct(one("recordContentSource").alias("label")), creationDate=one("recordCreationDate"), changeDate=one("recordChangeDate")),
+        hasSeries=F.when((F.size(hosts) == 0) & (F.size(series) > 0), series), hasPart=_some(F.transform(of("constituent"), lambda r: related(r, "Resource"))),
+        carrierType=carrier, extent=_labelled("Extent", _text(_flat(m["physicalDescription"], "extent"))), **origin, usageAndAccessPolicy=F.transform(_all(m["accessCondition"]), access),
+        electronicLocator=F.transform(_flat(m["location"], "url"), link), meta=_struct(at_type=F.lit("AdminMetadata"), assigner=_labelled("Agent", one("recordContentSource")), source=F.when(giver.isNotNull(), _struct(at_type=F.lit("Source"), value=giver)), creationDate=one("recordCreationDate"), changeDate=one("recordChangeDate")),
     )
     return F.to_json(doc)
