@@ -36,6 +36,7 @@ from .shared import partitions, shared_dir
 
 CACHE = 600_000  # words that a worker keeps; beyond it the cache starts anew
 FILE_BYTES = 64 << 20  # of text, about, in one file
+FEW_FILES = 1_000_000  # files whose starts are broadcast (24 bytes each); those of more are joined by a shuffle
 GROUP = 256  # documents whose unknown words are encoded in one call
 _WRITE = {
     "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
@@ -159,7 +160,8 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     parts = parts.select("part", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"))
-    out = rows.join(parts, "part").withColumn("start", F.col("local_start") + F.col("__before"))
+    few = rows.groupBy("part").agg(F.lit(1)).count() <= FEW_FILES
+    out = rows.join(F.broadcast(parts) if few else parts, "part").withColumn("start", F.col("local_start") + F.col("__before"))
     return out.select(*(columns or ["doc_id", "start", "n_tokens", "tokens"]))
 
 
