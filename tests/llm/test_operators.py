@@ -70,7 +70,7 @@ def test_token_files(spark, docs, rows, empty):
     assert tokens.token_digest(empty, path).count() == 0
 
 
-def test_token_files_allow_selective_reads(spark, tmp_path):
+def test_token_files_allow_selective_reads(spark, tmp_path, monkeypatch):
     import pyarrow.parquet as pq
 
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -95,6 +95,8 @@ def test_token_files_allow_selective_reads(spark, tmp_path):
     assert got.count() == 9003 and got.where("doc_id = 5").count() == 3 and got.where("doc_id IS NULL AND start = 0").count() == 1
     rows = sorted(got.select("start", "n_tokens").collect())
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+    monkeypatch.setattr(tokens, "FEW_FILES", 0)  # joined by a shuffle
+    assert rows == sorted(tokens.read_tokens(spark, f"file://{tmp_path}/t").select("start", "n_tokens").collect())
     plan = tokens.read_tokens(spark, f"file://{tmp_path}/t", ["doc_id", "n_tokens"]).where("doc_id = 77")
     text = plan._jdf.queryExecution().executedPlan().toString()
     scan = next(x for x in text.splitlines() if "FileScan" in x and "doc_id" in x)
