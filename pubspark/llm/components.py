@@ -10,18 +10,19 @@ from .shared import written
 MOST = 60  # rounds; stars need about log(longest path), so this is never met
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node and component (its smallest node) of each node of the edges (a, b).
 
     Large stars link each node's larger neighbours to its smallest neighbour,
     small stars do so with the smaller ones and itself. Hot nodes are no
     trouble: the least neighbour is a partial aggregate and the rest a join.
-    Each round's edges are written to the shared folder.
+    Each round's edges are written to the shared folder, in files as their number asks for (``rows``, if about that is known).
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
+    n = e.count()
     for _ in range(MOST):
         large = _star(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), keep_larger=True)
-        small = written(_star(large, keep_larger=False))
+        small = written(_star(large, keep_larger=False), n)
         same = small.join(e, ["a", "b"], "left_anti").isEmpty() and e.join(small, ["a", "b"], "left_anti").isEmpty()
         e = small
         if same:

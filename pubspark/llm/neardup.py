@@ -45,6 +45,7 @@ from .words import LOWER, Chunk, Spans, U, chunks, mix, windows
 
 SHINGLE = 5
 SALTED = 2000  # so many sets of one shingle and size are compared in one task
+TEXTS = 1 << 13  # texts or signatures that a task writes at least, if there are so many
 SYMBOLS, WIDTH, ERRORS = 32, 4, 1
 CHUNKS = SYMBOLS // WIDTH
 _RNG = np.random.default_rng(85)
@@ -156,31 +157,32 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _components(signed: DataFrame, percent: int) -> DataFrame:
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    sets = written(full.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.any_value("keys").alias("keys")))
+    size = signed.count()
+    sets = written(full.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.any_value("keys").alias("keys")), size, TEXTS)
     ids = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))  # an id with several texts links its classes
-    many = written(ids.where("rows > 1").select("doc_id"))
+    many = written(ids.where("rows > 1").select("doc_id"), size)
     again = not many.isEmpty()
     own = full.join(many, "doc_id", "left_semi").join(sets, ["lo", "hi"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     keyed = sets.select("rep", F.col("lo").alias("tie"), F.explode("keys").alias("key"))
     leads = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.min_by("tie", "rep").alias("lead_tie"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    shared = written(keyed.join(leads, "key"))
+    shared = written(keyed.join(leads, "key"), size * CHUNKS * WIDTH)
     inside = shared.select("rep", "tie").distinct()
     texts = full.select(F.col("doc_id").alias("rep"), F.col("lo").alias("tie"), "n", "text").join(inside, ["rep", "tie"], "left_semi")
     if again:  # one text of each class; without repeated ids there is only one
         texts = texts.groupBy("rep", "tie").agg(F.min("n").alias("n"), F.min("text").alias("text"))
-    texts = written(texts)
+    texts = written(texts, size, TEXTS)
     pairs = shared.where("rep <> lead OR tie <> lead_tie").select(F.col("lead").alias("a"), F.col("lead_tie").alias("ta"), F.col("rep").alias("b"), F.col("tie").alias("tb")).distinct()
     links = written(confirmed(pairs, texts, percent))
-    parts = written(components(links.unionByName(own)))
+    parts = written(components(links.unionByName(own), size), size)
     # buckets of several components: every pair of different ones that can be similar
     part = shared.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = written(part.join(mixed, "key", "left_semi").select("rep", "tie", "component").distinct())
+    rest = written(part.join(mixed, "key", "left_semi").select("rep", "tie", "component").distinct(), size)
     met = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("tb").alias("ta"), F.col("a").alias("b"), F.col("ta").alias("tb")))
     more = _prefix_pairs(texts, rest, percent).join(met, ["a", "ta", "b", "tb"], "left_anti")
     late = written(confirmed(more, texts, percent))
     if not late.isEmpty():
-        parts = written(components(links.unionByName(late).unionByName(own)))
+        parts = written(components(links.unionByName(late).unionByName(own), size), size)
     found = signed.select("doc_id", F.col("n").alias("n_shingles"), "lo", "hi").join(sets.select("lo", "hi", "rep"), ["lo", "hi"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
     return found.select("doc_id", "n_shingles", "lo", "hi", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -208,6 +210,7 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
 
     each = texts.join(rest.select("rep", "tie"), ["rep", "tie"], "left_semi").select("rep", "tie", "n", "text").mapInArrow(cut, f"rep {kind}, tie bigint, n bigint, g bigint")
     each = written(each)
+    most = each.count()
     often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     n_often = each.join(often, "g")
     # the shingles that are a document's alone come first in its order; they meet nobody
@@ -215,9 +218,9 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g"))
     head = n_often.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9) if percent < 100 else F.col("n")
-    head = written(head.join(rest, ["rep", "tie"]).select("g", "rep", "tie", "n", "component", "place", band.cast("long").alias("band")))
+    head = written(head.join(rest, ["rep", "tie"]).select("g", "rep", "tie", "n", "component", "place", band.cast("long").alias("band")), most)
     mixed = head.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
-    head = written(head.join(mixed, "g", "left_semi"))
+    head = written(head.join(mixed, "g", "left_semi"), most)
     salts = head.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
     a = head.join(salts, ["g", "band"]).select("g", "band", F.pmod(F.xxhash64("rep", "tie"), "salts").cast("int").alias("salt"), F.col("rep").alias("a"), F.col("tie").alias("ta"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
     near = head.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(salts, ["g", "band"])
@@ -248,7 +251,8 @@ def text_digest() -> Column:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each component, of its smallest doc_id, and one of each text that only rows without doc_id have, with all columns."""
-    found = written(_components(_signed(docs), percent))
+    signed = _signed(docs)
+    found = written(_components(signed, percent), signed.count())
     gone = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
     ids = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0")
