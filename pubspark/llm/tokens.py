@@ -21,6 +21,7 @@ input are left out, whatever their names.
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ _WRITE = {
     "parquet.page.row.count.limit": "2000", "parquet.page.size": str(256 << 10), "parquet.dictionary.page.size": str(1 << 20),
     "compression": "zstd",
 }
+MARKS = string.punctuation.replace("'", "").encode()  # an apostrophe may begin a contraction
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -69,51 +71,57 @@ class WordEncoder:
         self.inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.alphabet = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)} | {0x20: 0x20}  # that one parts the words
 
     @staticmethod
     def of(path: str) -> WordEncoder:
         return _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
 
     @staticmethod
-    def whole(w: str) -> bool:
-        """Letters of the Latin blocks, lower-case and composed: the normaliser and the pattern leave such a word as it is."""
-        return w.isalpha() and max(w) < "\u0250" and w == w.lower() and unicodedata.is_normalized("NFC", w)
+    def whole(w: bytes) -> bytes | None:
+        """A word of composed letters of the Latin blocks in lower case, which is all that normaliser and pattern make of it; else none."""
+        t = w.decode("utf-8", "replace")
+        if t.isalpha() and max(t) < "\u0250" and unicodedata.is_normalized("NFC", t):
+            u = t.lower()
+            if len(u) == len(t) and max(u) < "\u0250":
+                return u.encode()
+        return None
+
+    def parted(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        """The words that end in marks, and both parts: the pattern parts a letter or digit from the marks after it."""
+        for w in words:
+            v = w.rstrip(MARKS)
+            if 0 < len(v) < len(w):
+                last = v[-1:] if v[-1] < 128 else v[-2:].decode("utf-8", "replace")[-1]
+                if last.isalnum() if v[-1] < 128 else last.isalpha() and last.lower().isalpha() and last < "\u0250":  # not a letter that becomes two
+                    yield w, v, w[len(v) :]
 
     def learn(self, words: list[bytes]) -> None:
-        plain: dict[bytes, str] = {}
-        stop: list[bytes] = []
-        rest: list[bytes] = []
-        for w in words:
-            if w.isalpha():
-                plain[w] = w.decode()
-            elif w[-1] in b".," and w[-2:-1].isalpha():  # the pattern parts a letter from such marks
-                stop.append(w)
-                if (v := w[:-1]) not in self.cache and v not in plain:
-                    if self.whole(t := v.decode("utf-8", "replace")):
-                        plain[v] = t
-                    else:
-                        rest.append(v)
-            elif self.whole(t := w.decode("utf-8", "replace")):
-                plain[w] = t
-            else:
-                rest.append(w)
-        todo = list(plain)
-        for i in range(0, len(todo), 4096):
-            some = todo[i : i + 4096]
-            text = " ".join([plain[w] if w.isascii() else w.decode("latin-1").translate(self.alphabet) for w in some])
-            ids = np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1  # each of these words ends in one word-end piece
-            if len(cuts) != len(some):
-                rest += some
-                continue
-            raw, at = ids.tobytes(), (np.concatenate([[0], cuts]) * 4).tolist()
-            self.cache.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:])), strict=True))
-        rest = [*dict.fromkeys(rest), *(m for m in (b".", b",") if m not in self.cache)]
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        both = list(self.parted(other))
+        heads = {v for _, v, _ in both}.difference(self.cache, plain)
+        plain += [v for v in heads if v.isalpha()]
+        rest = list({v for v in heads if not v.isalpha()}.union(other).difference([w for w, _, _ in both]))
+        latin = {w: u for w in rest if (u := self.whole(w))}
+        rest = [w for w in rest if w not in latin]
+        for some, shown in ((plain, plain), (list(latin), list(latin.values()))):
+            for i in range(0, len(some), 1024):
+                part = some[i : i + 1024]
+                text = b" ".join(shown[i : i + 1024]).decode("latin-1")
+                if some is not plain:
+                    text = text.translate(self.alphabet)
+                ids = np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                cuts = np.flatnonzero(self.ends[ids]) + 1  # each of these words ends in one word-end piece
+                if len(cuts) != len(part):
+                    rest += part
+                    continue
+                raw, at = ids.tobytes(), (cuts * 4).tolist()
+                self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *at], at)], strict=True))
+        rest += {m for _, _, m in both}.difference(self.cache)
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
         self.cache.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(rest, found, strict=True))
-        for w in stop:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
+        self.cache.update([(w, self.cache[v] + self.cache[m]) for w, v, m in both])
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), GROUP):
