@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import TEXTS, tasks, written
 
 SPAN = 8
 MASKS = ["11010011", "01111001", "11100101", "00110111", "11101010", "10011101", "01011110", "10101011", "10110110", "01001111", "11110100"]
@@ -71,7 +71,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = _seeds(_windows(padded, "h", min([SPAN, *short]), "doc_id"), MASKS + ["1" * n for n in short])
     hits = windows.join(F.broadcast(items) if few else items, "seed")
     hits = hits.select("doc_id", "item", (F.col("pos") - 1 - F.col("at")).alias("diagonal"))
-    spots = written(hits.distinct()).withColumnRenamed("doc_id", "__id")
+    spots = written(hits.distinct(), docs.count()).withColumnRenamed("doc_id", "__id")
     ids = spots.select("__id").distinct()
     if spots.count() <= BROADCAST_SEEDS:
         spots, ids = F.broadcast(spots), F.broadcast(ids)
@@ -102,4 +102,4 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The clean documents with all their columns."""
     bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").coalesce(tasks(docs.count(), TEXTS))

@@ -40,12 +40,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import written
+from .shared import TEXTS, tasks, written
 from .words import LOWER, Chunk, Spans, U, chunks, mix, windows
 
 SHINGLE = 5
 SALTED = 2000  # so many sets of one shingle and size are compared in one task
-TEXTS = 1 << 13  # texts or signatures that a task writes at least, if there are so many
+SHINGLES = 1 << 18  # rows of shingles that a task writes at least, if there are so many
 SYMBOLS, WIDTH, ERRORS = 32, 4, 1
 CHUNKS = SYMBOLS // WIDTH
 _RNG = np.random.default_rng(85)
@@ -172,7 +172,7 @@ def _components(signed: DataFrame, percent: int) -> DataFrame:
         texts = texts.groupBy("rep", "tie").agg(F.min("n").alias("n"), F.min("text").alias("text"))
     texts = written(texts, size, TEXTS)
     pairs = shared.where("rep <> lead OR tie <> lead_tie").select(F.col("lead").alias("a"), F.col("lead_tie").alias("ta"), F.col("rep").alias("b"), F.col("tie").alias("tb")).distinct()
-    links = written(confirmed(pairs, texts, percent))
+    links = written(confirmed(pairs, texts, percent), size, dealt=True)
     parts = written(components(links.unionByName(own), size), size)
     # buckets of several components: every pair of different ones that can be similar
     part = shared.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -180,7 +180,7 @@ def _components(signed: DataFrame, percent: int) -> DataFrame:
     rest = written(part.join(mixed, "key", "left_semi").select("rep", "tie", "component").distinct(), size)
     met = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("tb").alias("ta"), F.col("a").alias("b"), F.col("ta").alias("tb")))
     more = _prefix_pairs(texts, rest, percent).join(met, ["a", "ta", "b", "tb"], "left_anti")
-    late = written(confirmed(more, texts, percent))
+    late = written(confirmed(more, texts, percent), size, dealt=True)
     if not late.isEmpty():
         parts = written(components(links.unionByName(late).unionByName(own), size), size)
     found = signed.select("doc_id", F.col("n").alias("n_shingles"), "lo", "hi").join(sets.select("lo", "hi", "rep"), ["lo", "hi"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
@@ -218,9 +218,9 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g"))
     head = n_often.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9) if percent < 100 else F.col("n")
-    head = written(head.join(rest, ["rep", "tie"]).select("g", "rep", "tie", "n", "component", "place", band.cast("long").alias("band")), most)
+    head = written(head.join(rest, ["rep", "tie"]).select("g", "rep", "tie", "n", "component", "place", band.cast("long").alias("band")), most, SHINGLES)
     mixed = head.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
-    head = written(head.join(mixed, "g", "left_semi"), most)
+    head = written(head.join(mixed, "g", "left_semi"), most, SHINGLES)
     salts = head.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
     a = head.join(salts, ["g", "band"]).select("g", "band", F.pmod(F.xxhash64("rep", "tie"), "salts").cast("int").alias("salt"), F.col("rep").alias("a"), F.col("tie").alias("ta"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
     near = head.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(salts, ["g", "band"])
@@ -252,7 +252,8 @@ def text_digest() -> Column:
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each component, of its smallest doc_id, and one of each text that only rows without doc_id have, with all columns."""
     signed = _signed(docs)
-    found = written(_components(signed, percent), signed.count())
+    size = signed.count()
+    found = written(_components(signed, percent), size)
     gone = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
     ids = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0")
@@ -266,7 +267,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
         fresh = none.where(worded).join(known.select(F.concat(_bytes("lo"), _bytes("hi")).alias("__d")), "__d", "left_anti")
         left = left.where("doc_id IS NOT NULL").unionByName(_one(fresh, "__d").drop("__d")).unionByName(none.where(~worded).drop("__d"))
-    return left
+    return left.coalesce(tasks(size, TEXTS))
 
 
 def _bytes(c: str) -> Column:

@@ -191,7 +191,7 @@ def train(seen: DataFrame, labels: DataFrame, *, trees: int = 100, size: int = 2
     """Grow and calibrate on every labelled row of ``seen`` (doc_id and statistics s)."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     each = seen.join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min("s").alias("s"))  # a row for each id, however often it occurs
-    rows = written(each.select(F.xxhash64("doc_id").alias("h"), (F.col("quality") > 0).alias("good"), "s.*").where(~base_failed({c: F.col(c) for c in STATS})))
+    rows = written(each.select(F.xxhash64("doc_id").alias("h"), (F.col("quality") > 0).alias("good"), "s.*").where(~base_failed({c: F.col(c) for c in STATS})), seen.count())
     good = rows.where("good")
     n = good.count()
     if not n:
