@@ -1,7 +1,7 @@
 """Token ids in Parquet files for selective reads.
 
 ``write_tokens`` deals documents by ranges of doc_id, as many as the texts' size
-asks for (``FILE_BYTES`` each) and at least one for each shuffle partition,
+asks for (``FILE_BYTES`` each) and at least ``PER_CORE`` for each core (but no more than shuffle partitions),
 encodes each range in order and writes one file for each, with the columns doc_id, part, local_start
 (ids before the row in its file), n_tokens and tokens, a list of 32-bit ids.
 Tokens are dictionary-encoded (a vocabulary is far smaller than a row group),
@@ -37,6 +37,7 @@ from .shared import partitions, shared_dir
 
 CACHE = 600_000  # words that a worker keeps; beyond it the cache starts anew
 FILE_BYTES = 64 << 20  # of text, about, in one file
+PER_CORE = 4  # files for each core, where the texts fill fewer; Hadoop starts processes for each local file
 FEW_FILES = 1_000_000  # files whose starts are broadcast (24 bytes each); those of more are joined by a shuffle
 GROUP = 256  # documents whose unknown words are encoded in one call
 _WRITE = {
@@ -155,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ro
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(partitions(docs), -(-size // FILE_BYTES))
+    ranges = max(-(-size // FILE_BYTES), min(partitions(docs), PER_CORE * docs.sparkSession.sparkContext.defaultParallelism))
     # by text too, so that the rows of one id may lie in several files
     dealt = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows = dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(encode, f"doc_id {kind}, part int, local_start bigint, n_tokens bigint, tokens array<int>")
