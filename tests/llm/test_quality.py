@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pubspark.llm import quality
+from pubspark.llm import quality, shared
 
 
 @pytest.mark.parametrize("k", [0, 1, 700, 2999])
@@ -32,3 +32,15 @@ def test_forest_and_threshold_come_from_every_labelled_row(spark):
     low = clean[int(np.ceil(len(clean) * 0.5))]
     found = score[off & (score > low)]
     assert forest.threshold == ((low + found.min()) / 2 if len(found) else clean[-1])
+
+
+def test_what_is_kept_lies_in_few_partitions(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words that are as usual as any in a text "), F.col("id").cast("string")).alias("text")).repartition(24)
+        kept = quality.quality_filter(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+        assert kept.rdd.getNumPartitions() <= shared.FEWEST and kept.count() >= 600 * 0.99
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
